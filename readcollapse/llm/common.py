@@ -137,3 +137,33 @@ def shingles(hashes: np.ndarray, first: np.ndarray, width: int = 5) -> tuple[np.
     rows = np.repeat(np.arange(len(counts)), many)
     starts = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many) + first[:-1][rows]
     return span_hash(hashes, starts, np.minimum(starts + width, first[1:][rows])), rows
+
+
+def remainder(doc_id: str, modulus: int) -> F.Column:
+    """crc32 of the id as text, modulo `modulus`; a null id counts as the text 'null'."""
+    return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) % modulus
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> tuple[list, dict]:
+    """At most per_label rows of each label, those with the smallest seeded hash of doc_id; and the counts of all labels.
+
+    Labels are counted first, so that a hash threshold keeps about three times what is needed: only that many ids come
+    to the driver, and only the chosen rows' texts.  rows: doc_id, text and the label, without nulls.
+    """
+    counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
+    if not counts:
+        return [], {}
+    place = F.xxhash64("doc_id", F.lit(seed))
+    top = (1 << 63) - 1
+    limits = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(top, int(top * (2 * min(1.0, (3 * per_label + 30) / n) - 1)))).cast("long"))))
+    near = rows.filter(place <= limits[F.col(label)]).select("doc_id", label, place.alias("place")).collect()
+    near.sort(key=lambda r: (r["place"], r["doc_id"]))
+    seen: dict = {}
+    ids = []
+    for r in near:
+        seen[r[label]] = seen.get(r[label], 0) + 1
+        if seen[r[label]] <= per_label:
+            ids.append(r["doc_id"])
+    chosen = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", label, "text").collect()
+    chosen.sort(key=lambda r: (r["doc_id"], r["text"]))
+    return chosen[: per_label * len(counts)], counts

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, mixing, near_dedup, quality, secrets
+from . import language_id, mixing, near_dedup, quality, secrets, sentencepiece_fst
 from .common import table
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_fst.checked(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), keep=["doc_id", "text"]))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
 
@@ -30,6 +34,6 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_source_mixing, op4_language_id, op5_secret_scan, op7_minhash_near_dedup, op10_quality_classifier)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_source_mixing, op4_language_id, op5_secret_scan, op7_minhash_near_dedup, op10_quality_classifier)}
 
 ORACLES: dict[str, str] = {}

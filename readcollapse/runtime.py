@@ -1,12 +1,14 @@
-"""What a session needs before Python code of this package runs on executors."""
+"""Sessions and the shared folder: what operators need besides DataFrames."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _shipped: set[str] = set()
 
@@ -23,3 +25,33 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top.parent))
     context.addPyFile(str(target))
     _shipped.add(context.applicationId)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; one of our own only where none is set (tests, local mode)."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext._jsc.sc()
+    if not folder:
+        current = context.getCheckpointDir()
+        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoints")
+    if not context.getCheckpointDir().isDefined():
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: lineage is cut, executors may go."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, as a URI."""
+    folder = shared_folder(spark)
+    folder = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """df with a broadcast hint if it has at most `rows` rows, else as it is.  df should be cheap (checkpointed)."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -1 +1 @@
-
+"""Nothing streams: representatives depend on counts over all reads, and the input is read twice, so reads are bounded."""

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import ship
+from ..runtime import bounded_broadcast, checkpoint, scratch, shared_folder, ship  # noqa: F401
 
 U64 = np.uint64
 
@@ -23,39 +21,10 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where none is set (tests, local mode)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: lineage is cut, executors may go."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under the shared folder, as a URI."""
-    folder = shared_folder(spark)
-    folder = folder if "://" in folder or folder.startswith("file:") else "file://" + folder
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    """df with a broadcast hint if it has at most `rows` rows, else as it is.  df should be cheap (checkpointed)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows, so that each piece holds about max_bytes of text (one longer row stays whole)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import checkpoint, map_arrow
-from .components import components
+from ..operators.components import components
 from .vectors import BLOCK, celled, matrix, nonzero, pivots, usable
 
 COSINE = 0.95

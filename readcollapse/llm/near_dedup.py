@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ship
 from .common import U64, checkpoint, map_arrow, mix, shingles, span_hash, text_slices, utf8, words
-from .components import components
+from ..operators.components import components
 
 WIDTH = 5
 SIMILARITY = 0.8

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -35,31 +36,27 @@ def average_error_rate(quality: Column, offset: int = DEFAULT_OFFSET, check: boo
 
 
 def average_error_rate_arrow(offset: int = DEFAULT_OFFSET):
-    """The same as a pandas function on batches: one addition for each position in all strings, so sums also run from left to right."""
+    """The same as an Arrow function on batches: one addition for each position in all strings, so sums also run from left to right."""
 
     table = np.array([*[np.nan] * offset, *ERROR_RATES])
 
-    @F.pandas_udf("double")
-    def rate(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            there = s.notna().to_numpy()
-            texts = [x.encode("ascii") for x in s[there]]
-            size = np.array([len(x) for x in texts], np.int64)
-            codes = np.frombuffer(b"".join(texts), np.uint8)
+            size = np.array([0 if x is None else x for x in pc.binary_length(s).to_pylist()], np.int64)
+            if pc.any(pc.not_equal(pc.utf8_length(s), pc.binary_length(s))).as_py():
+                raise ValueError("must be ASCII encoded")
+            codes = np.frombuffer("".join(pc.fill_null(s, "").to_pylist()).encode(), np.uint8)
             if len(codes) and (codes.min() < offset or codes.max() > 126):
                 raise ValueError("outside of valid phred range")
             begin = np.cumsum(size) - size
-            total = np.zeros(len(texts))
+            total = np.zeros(len(s))
             order = np.argsort(-size, kind="stable")
             for place in range(int(size.max(initial=0))):
                 rows = order[: np.searchsorted(-size[order], -place, "left")]
                 total[rows] += table[codes[begin[rows] + place]]
-            out = np.full(len(s), np.nan)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                out[there] = total / size
-            result = pd.Series(out, dtype=object)
-            result[~there] = None
-            yield result
+            with np.errstate(invalid="ignore"):
+                yield pa.array(total / size, mask=s.is_null().to_numpy(zero_copy_only=False), from_pandas=False)
 
     return rate
 

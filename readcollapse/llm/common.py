@@ -15,12 +15,17 @@ from ..runtime import bounded_broadcast, checkpoint, scratch, shared_folder, shi
 U64 = np.uint64
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """mapInArrow with this package's sources sent along."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
 
 
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """df's rows as one column `row`, beside some of its columns: names that operators add cannot clash with its own."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

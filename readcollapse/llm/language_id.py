@@ -22,8 +22,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, U64, labelled_sample, map_arrow, remainder, text_slices, utf8
+from .common import LOWER, labelled_sample, map_arrow, packed, remainder, text_slices, utf8
 
 #: Bounds of what is fitted: training texts and landmarks of each language.
 TRAIN_PER_LANGUAGE = 400
@@ -118,8 +119,8 @@ def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
                         value = np.where(known, (e / e.sum(axis=1, keepdims=True))[np.arange(len(f)), top], 0.0)
                     yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(best, pa.string()), pa.array(value)], [*keep, "lang_pred", "score"])
 
-    fields = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), score, ", ".join([*(f"{c} {fields[c]}" for c in keep), "lang_pred string", "score double"]))
+    added = T.StructType().add("lang_pred", "string").add("score", "double")
+    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), score, T.StructType([*(docs.schema[c] for c in keep), *added]))
 
 
 def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2)) -> DataFrame:
@@ -131,6 +132,5 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2)) -> DataFrame:
 
 def accept(docs: DataFrame) -> DataFrame:
     """Documents whose language can be told: what is `und` (null text, no letter) goes; rows and columns stay as they are."""
-    names = list(docs.columns)
     model = train(docs.filter(remainder("doc_id", 4) != 2))
-    return predict(docs, model, names).filter(F.col("lang_pred") != "und").select(*names)
+    return predict(packed(docs, "text"), model, ["row"]).filter("lang_pred <> 'und'").select("row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_broadcast, checkpoint
+from .common import bounded_broadcast, checkpoint, packed
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -119,7 +119,8 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     Documents of which nothing is taken go, except those without words, of which nothing can be taken: they stay once.
     """
     taken = mix(docs, **how).groupBy(F.col("doc_id").alias("_id"), F.col("size").alias("_size")).agg(F.max("taken").alias("_taken"))
-    out = docs.withColumn("_n", word_count(F.col("text"))).join(taken, (F.col("doc_id") == F.col("_id")) & (F.col("_n") == F.col("_size")))
+    out = packed(docs, "doc_id", "text", word_count(F.col("text")).alias("_n"))
+    out = out.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_n") == F.col("_size")))
     out = out.filter((F.col("_taken") > 0) | (F.col("_size") == 0))
     passes = F.greatest(F.ceil(F.col("_taken") / F.greatest(F.col("_size"), F.lit(1))), F.lit(1)).cast("int")
     out = out.withColumn("_pass", F.explode(F.sequence(F.lit(1), passes)))
@@ -127,6 +128,6 @@ def repeat(docs: DataFrame, **how) -> DataFrame:
     # A place between words, after each: the parts before the cut, joined, are the text's beginning unchanged.
     parts = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
     text = F.when(words < F.col("_size"), F.array_join(F.slice(parts, F.lit(1), words.cast("int")), "")).otherwise(F.col("text"))
-    out = out.withColumn("text", text)
-    out = out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
-    return out.select(*docs.columns)
+    row = F.col("row").withField("text", text)
+    row = row.withField("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else row
+    return out.select(row.alias("row")).select("row.*")

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import U64, checkpoint, map_arrow, mix, shingles, span_hash, text_slices, utf8, words
+from .common import U64, checkpoint, map_arrow, mix, packed, shingles, span_hash, text_slices, utf8, words
 from ..operators.components import components
 
 WIDTH = 5
@@ -340,6 +340,7 @@ def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """One document of each group, that with the smallest id; documents without links stay.  Repeated rows of an id are one."""
     kept = checkpoint(link(docs, least).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")))
     repeated = not kept.groupBy("_id").count().filter("count > 1").isEmpty()
-    out = docs.filter("doc_id is not null").join(kept.distinct() if repeated else kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    rows = packed(docs, "doc_id")
+    out = rows.filter("doc_id is not null").join(kept.distinct() if repeated else kept, F.col("doc_id") == F.col("_id"), "left_semi")
     out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.unionByName(docs.filter("doc_id is null"))
+    return out.unionByName(rows.filter("doc_id is null")).select("row.*")

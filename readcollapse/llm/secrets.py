@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, map_arrow
+from .common import checkpoint, map_arrow, packed
 
 #: Kinds in the order in which spans that start together are listed.
 KINDS = ("assign", "access", "hex", "pem", "jwt")
@@ -95,14 +95,18 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """Documents with every span found replaced by [SECRET]; rows and columns stay."""
+    """Documents with every span found replaced by [SECRET] (n_chars follows); rows and columns stay."""
     found, _ = scan(docs.select("doc_id", "text"), "doc_id")
     marked = found.filter(F.size("spans") > 0).select(F.col("path").alias("doc_id"), F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["doc_id", "_blob"])
     blob = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256))
-    out = docs.withColumn("_blob", blob).join(marked, ["doc_id", "_blob"], "left")
+    rows = packed(docs, "text", F.col("doc_id").alias("_id"), blob.alias("_hash"))
+    out = rows.join(marked, F.col("_id").eqNullSafe(F.col("doc_id")) & (F.col("_hash") == F.col("_blob")), "left")
     # Spans can overlap (hex inside assign): keep each stretch of text that no span covers.
     start = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] >= a["at"], F.concat(a["out"], F.substring("text", a["at"].cast("int") + 1, (s["start"] - a["at"]).cast("int")), F.lit("[SECRET]"))).otherwise(a["out"]).alias("out"),
     ), lambda a: F.concat(a["out"], F.substring("text", a["at"].cast("int") + 1, F.length("text"))))
-    return out.withColumn("text", F.when(F.col("_spans").isNotNull(), start).otherwise(F.col("text"))).select(*docs.columns)
+    text = F.when(F.col("_spans").isNotNull(), start).otherwise(F.col("text"))
+    row = F.col("row").withField("text", text)
+    row = row.withField("n_chars", F.length(text).cast("long")) if "n_chars" in docs.columns else row
+    return out.select(row.alias("row")).select("row.*")

@@ -2,7 +2,7 @@
 
 Every record is a gzip member of its own.  A reader task takes a byte range of a file, looks for the gzip magic, decodes each
 candidate's header and the first bytes of its data (which must begin a WARC record) and then the whole member, whose checksum
-must hold; after a member the next one begins where it ends.  A task owns the records that start inside its range and
+must hold, and the members that follow it; after a member the next one begins where it ends.  A task owns the records that start inside its range and
 reads on past its end to finish the last, so any ranges that cover a file give every record once.
 
 Archives lie in the shared folder under names of their own; only files in the manifest are read, so what a lost task has
@@ -40,6 +40,8 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Compressed bytes that a candidate is tried with at first, and that are read at once.
 _TRY = 4096
 _READ = 1 << 20
+#: The longest stored block of deflate.
+STORED = 65_535
 
 
 def plan(pages: DataFrame) -> DataFrame:
@@ -123,7 +125,7 @@ class Window:
 
     def keep(self, at: int) -> None:
         if at - self.at > _READ:
-            self.held, self.at = self.held[at - self.at :], at
+            self.held, self.at = self.held[min(at - self.at, len(self.held)) :], at
 
 
 def candidate(start: bytes) -> bool:
@@ -151,32 +153,43 @@ def member(window: Window, at: int) -> tuple[bytes, int] | None:
     return b"".join(out), pos
 
 
+def chain(window: Window, at: int, least: int) -> list[tuple[int, bytes]] | None:
+    """(offset, data) of the members from `at` on, each beginning where the one before ends, over more than `least` bytes or to the
+    end of the file, and where the last ends (with no data); None if the chain breaks off."""
+    out, pos = [], at
+    while pos <= at + least and pos < window.size or not out:
+        got = member(window, pos) if candidate(window.get(pos, pos + _TRY)) else None
+        if got is None:
+            return None
+        out.append((pos, got[0]))
+        pos = got[1]
+    return [*out, (pos, b"")]
+
+
 def members(stream, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
     """(offset, data) of the members that begin in bytes start to stop.
 
-    A member found by its magic is taken if the file ends behind it or another candidate begins there: bytes inside a stored block
-    that look like a member do not pass.
+    Bytes of a member's data can look like members themselves: an archive inside an archive, which deflate stores as it is.
+    A stored block has 65535 bytes at most, so a chain of members that is longer, or ends with the file, is a real one.
     """
     window, at, known = Window(stream, start), start, start == 0
     while at < min(stop, window.size):
+        window.keep(at)
         if not known:
-            found = window.get(at, min(stop, window.size) + 2 if stop - at < _READ else at + _READ).find(MAGIC)
+            blob = window.get(at, min(at + _READ, stop + len(MAGIC) - 1))
+            found = blob.find(MAGIC)
             if found < 0:
-                at = min(stop, max(at + 1, at + min(_READ, stop - at) - 2)) if stop - at > 3 else stop
-                window.keep(at)
+                at += max(1, len(blob) - len(MAGIC) + 1)
                 continue
             at += found
-            if at >= stop:
-                return
-        got = member(window, at) if candidate(window.get(at, at + _TRY)) else None
-        if got and not known and got[1] < window.size and not candidate(window.get(got[1], got[1] + _TRY)):
-            got = None
+        got = chain(window, at, 0 if known else STORED)
         if got is None:
             at, known = at + 1, False
-        else:
-            yield at, got[0]
-            at, known = got[1], True
-        window.keep(at)
+            continue
+        for offset, data in got[:-1]:
+            if offset < stop:
+                yield offset, data
+        at, known = got[-1][0], True
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:

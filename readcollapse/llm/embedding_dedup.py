@@ -119,6 +119,20 @@ def _compare(least: float):
     return run
 
 
+def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Vectors of length 1; first divided by their largest component, so that squares neither overflow nor vanish."""
+    for batch in batches:
+        v = batch.column("v")
+        size = v.value_lengths().to_numpy(zero_copy_only=False)
+        begin = np.concatenate([[0], np.cumsum(size)])[:-1]
+        flat = v.flatten().to_numpy(zero_copy_only=False)
+        if len(flat):
+            flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), begin), size)
+            flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, begin)), size)
+        offsets = pa.array(np.append(begin, len(flat)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rep", "copies", "v"])
+
+
 def _ranges(centers: dict[int, np.ndarray]):
     """For each cell of a batch the smallest and largest distance to every pivot."""
 
@@ -153,9 +167,7 @@ def link(rows: DataFrame, least: float = COSINE, key: str = "vec_id", vector: st
     members = stored.select("vec_id", "h1", "h2")
     count = classes.count()
     # Lengths do not matter to the cosine: cells are made of scaled vectors.
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    biggest = F.array_max(F.transform("v", F.abs))
-    unit = classes.withColumn("_m", biggest).withColumn("v", F.expr("transform(v, x -> x / _m)")).withColumn("_n", norm).withColumn("v", F.expr("transform(v, x -> x / _n)")).drop("_m", "_n")
+    unit = checkpoint(map_arrow(classes.select("rep", "copies", "v"), _scaled, f"rep {classes.schema['rep'].dataType.simpleString()}, copies long, v array<double>"))
     centers = pivots(unit.select(F.col("rep").alias("vec_id"), "v"), count)
     kept = checkpoint(celled(unit.select("rep", "copies", "v"), centers))
     per = {(r["dim"], r["cell"]): r["n"] for r in kept.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}

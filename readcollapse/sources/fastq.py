@@ -12,8 +12,10 @@ import io
 import json
 import lzma
 from collections.abc import Iterator, Sequence
+from itertools import chain, islice
 
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,22 +102,20 @@ class _Reader(DataSourceReader):
         return [_Files(i, paths) for i, paths in enumerate(self.sets)]
 
     def read(self, partition: _Files):
-        fields = [("name", pa.string()), ("sequence", pa.string()), ("qualities", pa.string())]
-        schema = pa.schema([("file_set", pa.int32()), ("rec_idx", pa.int64()), ("mates", pa.list_(pa.struct(fields)))])
-        place, held = 0, []
+        place = 0
         # zip ends with the shortest file.
-        for mates in zip(*map(records, partition.paths), strict=False):
-            held.append([dict(zip(("name", "sequence", "qualities"), m, strict=True)) for m in mates])
-            if len(held) == BATCH:
-                yield self._batch(partition.number, place, held, schema)
-                place, held = place + len(held), []
-        if held:
-            yield self._batch(partition.number, place, held, schema)
+        rows = zip(*map(records, partition.paths), strict=False)
+        while held := list(islice(rows, BATCH)):
+            yield self._batch(partition.number, place, held)
+            place += len(held)
 
     @staticmethod
-    def _batch(number: int, place: int, held: list, schema: pa.Schema) -> pa.RecordBatch:
-        n = len(held)
-        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.array(held, schema.field("mates").type)], schema=schema)
+    def _batch(number: int, place: int, held: list) -> pa.RecordBatch:
+        n, width = len(held), len(held[0])
+        columns = zip(*chain.from_iterable(held), strict=True)
+        mates = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["name", "sequence", "qualities"])
+        offsets = pa.array(range(0, (n + 1) * width, width), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.ListArray.from_arrays(offsets, mates)], ["file_set", "rec_idx", "mates"])
 
 
 class FastqSource(DataSource):
@@ -166,14 +166,15 @@ def write_fastq(rows: DataFrame, paths: Sequence[str]) -> None:
         for batch in batches:
             any_row = any_row or batch.num_rows > 0
             for at in range(0, batch.num_rows, BATCH):
-                held: list[list[str]] = [[] for _ in names]
-                for mates in batch.column("mates").slice(at, BATCH).to_pylist():
-                    for out, r in zip(held, mates, strict=True):
-                        if r["qualities"] is None:
-                            raise ValueError(f"{r['name']!r} has no qualities and cannot be written as FASTQ")
-                        out.append(f"@{r['name']}\n{r['sequence']}\n+\n{r['qualities']}\n")
-                for stream, out, name in zip(streams, held, names, strict=True):
-                    stream.write(packed("".join(out).encode("ascii"), name))
+                mates = batch.column("mates").slice(at, BATCH)
+                if pc.any(pc.not_equal(mates.value_lengths(), len(names))).as_py():
+                    raise ValueError(f"a row does not have {len(names)} mates")
+                parts_of = [mates.flatten().field(f).to_pylist() for f in ("name", "sequence", "qualities")]
+                if None in parts_of[2]:
+                    raise ValueError(f"{parts_of[0][parts_of[2].index(None)]!r} has no qualities and cannot be written as FASTQ")
+                lines = [f"@{n}\n{s}\n+\n{q}\n" for n, s, q in zip(*parts_of, strict=True)]
+                for i, (stream, name) in enumerate(zip(streams, names, strict=True)):
+                    stream.write(packed("".join(lines[i :: len(names)]).encode("ascii"), name))
         for stream in streams:
             stream.close()
         if any_row:

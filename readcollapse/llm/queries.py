@@ -41,7 +41,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.save(table(spark, sf_dir, "documents"))
-    return token_files.digest(token_files.read(spark, manifest))
+    return token_files.read_digest(spark, manifest)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,6 +39,7 @@ _TRAILER = struct.Struct("<QQQQ8s")  # where the chunk index, the ids and the co
 MEMO = 800_000
 #: White space of the pattern but for the space and the line end.
 _SPACES = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_MARKS = ".,;:!?$%&#*"
 MANIFEST = "part int, file string, docs long, ids long"
 
 
@@ -86,7 +87,10 @@ class Encoder:
         if len(memo) > MEMO:
             memo.clear()
         lists = [self._words(t) if t and self.split else None for t in texts]
-        new = set().union(*(x for x in lists if x)).difference(memo)
+        unseen = set().union(*(x for x in lists if x)).difference(memo)
+        # Marks behind a letter are a token sequence of their own, so such words are put together from both.
+        marked = {w: core for w in unseen if (core := w.rstrip(_MARKS)) != w and core[-1:].isalpha()}
+        new = unseen.difference(marked).union(marked.values(), ("\r" + w[len(core) :] for w, core in marked.items())).difference(memo)
         after_space = [w for w in new if w[0] not in "\n\r"]
         alone = sorted({w[1:] for w in new if w[0] in "\n\r"})
         if after_space:
@@ -100,6 +104,8 @@ class Encoder:
             line = np.array([self.line], "<u4").tobytes()
             for w in alone:
                 memo["\n" + w] = line + memo["\r" + w]
+        for w, core in marked.items():
+            memo[w] = memo[core] + memo["\r" + w[len(core) :]]
         return [b"".join(map(memo.__getitem__, x)) if x else self._ids(t).tobytes() if t else b"" for t, x in zip(texts, lists, strict=True)]
 
     def _keep(self, words: list[str], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
@@ -114,21 +120,27 @@ def _encoder(spec: str) -> Encoder:
     return Encoder(spec)
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
-    """(doc_id, ids array<int>) of docs (doc_id, text), in the order of its rows; the end id closes every document."""
+def _encoding(spark: SparkSession, tokenizer: str | None, end_id: int | None):
+    """What encode() does to batches (doc_id, text)."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
-        held = docs.sparkSession.sparkContext.broadcast(f.read())
+        held = spark.sparkContext.broadcast(f.read())
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value)
         for batch in batches:
-            for piece in text_slices(batch, "text"):
+            for piece in text_slices(batch, "text", 1 << 20):
                 made = encoder.encode(piece.column("text").to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([(len(m) + len(tail)) // 4 for m in made])]).astype(np.int32)
                 values = np.frombuffer(tail.join([*made, b""]), "<i4")
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
 
+    return run
+
+
+def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
+    """(doc_id, ids array<int>) of docs (doc_id, text), in the order of its rows; the end id closes every document."""
+    run = _encoding(docs.sparkSession, tokenizer, end_id)
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
@@ -222,8 +234,8 @@ class FileReader:
 _NULL = -(1 << 63)
 
 
-def write(encoded: DataFrame, folder: str) -> DataFrame:
-    """Writes one file for each partition of encoded (doc_id, ids), in its order; the manifest (part, file, docs, ids), stored."""
+def _writing(folder: str):
+    """What write() does to batches (doc_id, ids)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -247,56 +259,74 @@ def write(encoded: DataFrame, folder: str) -> DataFrame:
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([f"{folder}/{name}"]), "docs": pa.array([docs], pa.int64()), "ids": pa.array([writer.ids], pa.int64())})
 
-    return checkpoint(map_arrow(encoded.select("doc_id", "ids"), run, MANIFEST))
+    return run
+
+
+def write(encoded: DataFrame, folder: str) -> DataFrame:
+    """Writes one file for each partition of encoded (doc_id, ids), in its order; the manifest (part, file, docs, ids), stored."""
+    return checkpoint(map_arrow(encoded.select("doc_id", "ids"), _writing(folder), MANIFEST))
 
 
 def save(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
     """Encodes docs and writes them in ascending doc_id order over all files; returns the manifest.
 
-    Texts are dealt by ranges of doc_id before they are encoded, so that finding the ranges encodes nothing.
+    Texts are dealt by ranges of doc_id before they are encoded, so that finding the ranges encodes nothing.  Both steps share a
+    Python worker: encode() and write() after each other would take two for each task.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return write(encode(ordered, tokenizer), folder or scratch(docs.sparkSession, "tokens"))
-
+    encoding, writing = _encoding(docs.sparkSession, tokenizer, END_ID), _writing(folder or scratch(docs.sparkSession, "tokens"))
+    return checkpoint(map_arrow(ordered, lambda batches: writing(encoding(batches)), MANIFEST))
 
-def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """(doc_id, start, ids) of every document in the files; start counts the ids of all documents before it.
 
-    The manifest has a row a file; only that comes to the driver, to number the files' first ids.
-    """
+def _numbered(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """(file, start) of every file in order.  The manifest has a row a file; only that comes to the driver."""
     files, at = [], 0
     for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["file"])):
         files.append((r["file"], at))
         at += r["ids"]
-    rows = spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files)), "file")
+    return spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files)), "file")
+
+
+def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What read() does to batches (file, start)."""
+    for batch in batches:
+        for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
+            fs, path = pafs.FileSystem.from_uri(file)
+            with fs.open_input_file(path) as stream:
+                reader = FileReader(stream)
+                begin = np.concatenate([[0], np.cumsum(reader.counts)])
+                edges = np.append(np.flatnonzero(np.diff(begin[:-1] // (1 << 19), prepend=-1)), len(reader.docs))
+                for a, b in zip(edges, edges[1:], strict=False):
+                    ids = reader.read(int(begin[a]), int(begin[b])).astype("<i4")
+                    offsets = pa.array((begin[a : b + 1] - begin[a]).astype(np.int32))
+                    doc = reader.docs[a:b]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == _NULL), pa.array(begin[a:b] + start), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "start", "ids"])
+
+
+def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What digest() does to batches (doc_id, start, ids)."""
+    for batch in batches:
+        ids = batch.column("ids")
+        count = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        flat = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes())
+        edges = np.concatenate([[0], np.cumsum(4 * count)]).tolist()
+        crc = [zlib.crc32(flat[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(count), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for file, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                fs, path = pafs.FileSystem.from_uri(file)
-                with fs.open_input_file(path) as stream:
-                    reader = FileReader(stream)
-                    begin = np.concatenate([[0], np.cumsum(reader.counts)])
-                    edges = np.append(np.flatnonzero(np.diff(begin[:-1] // (1 << 20), prepend=-1)), len(reader.docs))
-                    for a, b in zip(edges, edges[1:], strict=False):
-                        ids = reader.read(int(begin[a]), int(begin[b])).astype("<i4")
-                        offsets = pa.array((begin[a : b + 1] - begin[a]).astype(np.int32))
-                        doc = reader.docs[a:b]
-                        yield pa.RecordBatch.from_arrays([pa.array(doc, mask=doc == _NULL), pa.array(begin[a:b] + start), pa.ListArray.from_arrays(offsets, pa.array(ids))], ["doc_id", "start", "ids"])
 
-    return map_arrow(rows, run, "doc_id long, start long, ids array<int>")
+_DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """(doc_id, start, ids) of every document in the files; start counts the ids of all documents before it."""
+    return map_arrow(_numbered(spark, manifest), _reading, "doc_id long, start long, ids array<int>")
 
 
 def digest(stored: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of what read() gives."""
+    return map_arrow(stored, _digesting, _DIGEST)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("ids")
-            count = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = memoryview(ids.flatten().to_numpy(zero_copy_only=False).astype("<i4").tobytes())
-            edges = np.concatenate([[0], np.cumsum(4 * count)]).tolist()
-            crc = [zlib.crc32(flat[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(count), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return map_arrow(stored, run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def read_digest(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+    """digest(read(...)) in one Python worker for each task instead of two."""
+    return map_arrow(_numbered(spark, manifest), lambda batches: _digesting(_reading(batches)), _DIGEST)

@@ -57,7 +57,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 
 _GOOD = "embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
 
+_EITHER = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+_RULES = {
+    "assign": rf"""({_EITHER})["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""",
+    "access": "AKIA[A-Z0-9]+",
+    "hex": "[0-9a-f]+",
+    "pem": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x20\t\r\n]+-----END [A-Z ]*PRIVATE KEY-----",
+    "jwt": r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+}
+_FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d" for i, (k, p) in enumerate(_RULES.items()))
+
 ORACLES: dict[str, str] = {
+    "op5_secret_scan": f"""
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
+        x AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f),
+        s AS (SELECT doc_id, kind, o, ms[i] AS m, (list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0))::BIGINT AS b FROM x),
+        k AS (SELECT *, concat(kind, ':', b, ':', b + length(m)) AS span FROM s
+              WHERE kind IN ('pem', 'jwt') OR (kind = 'access' AND length(m) >= 20) OR (kind = 'hex' AND length(m) >= 24) OR (kind = 'assign' AND length(regexp_extract(m, '{_RULES["assign"]}', 2)) >= 6))
+        SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               sha256(coalesce(string_agg(span, ',' ORDER BY b, o) FILTER (o < 3), '')) AS base_sha256, coalesce(string_agg(span, ',' ORDER BY b, o), '') AS spans
+        FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id""",
     "op3_exact_topk": f"""
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings WHERE {_GOOD}),
         s AS (SELECT q.vec_id AS query_id, d.vec_id AS vec_id, list_dot_product(q.v, d.v)::BIGINT AS score

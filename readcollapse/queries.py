@@ -13,7 +13,7 @@ from .functions.records import are_mates, numbered, zipped
 from .functions.slices import key, quality_key, slice_text
 from .operators import clusters as c
 from .operators import shape
-from .operators.pairs import contains, similarity_pairs
+from .operators.pairs import contains
 from .options import DedupOptions, parse_slices
 from .plans.pipeline import Deduplication
 from .runtime import checkpoint, scratch

@@ -93,6 +93,7 @@ def survivors(keys: DataFrame, pairs: DataFrame, method: str = "directional") ->
 def first_records(reads: DataFrame, kept: DataFrame, key: Column, order: Column) -> DataFrame:
     """The first row of reads (in order) for each key kept, whatever its quality."""
     names = reads.columns
-    rows = reads.withColumn("_key", key).join(kept.select(F.col("seq").alias("_seq")), F.col("_key") == F.col("_seq"), "left_semi")
+    # Null-safe, so that no "is not null" of the key's whole expression is derived, copied and pushed below the projections.
+    rows = reads.withColumn("_key", key).join(kept.select(F.col("seq").alias("_seq")), F.col("_key").eqNullSafe(F.col("_seq")), "left_semi")
     first = rows.groupBy("_key").agg(F.min_by(F.struct(*names), order).alias("r"))
     return first.select(*(F.col("r")[c].alias(c) for c in names))

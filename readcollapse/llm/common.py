@@ -71,11 +71,11 @@ def _power(base: int, n: int) -> np.ndarray:
     """base**0 .. base**n modulo 2**64."""
     have = _powers.get(base)
     if have is None or len(have) <= n:
-        size = max(1 << 16, 1 << int(n + 1).bit_length())
+        size = max(1 << 16, (n + 1) * 5 // 4)
         full = np.full(size, base, U64)
         full[0] = 1
         have = np.cumprod(full, dtype=U64)
-        if size <= 1 << 23:
+        if size <= 1 << 22:
             _powers[base] = have
     return have
 

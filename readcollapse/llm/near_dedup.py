@@ -71,7 +71,7 @@ def _place(shingle: np.ndarray) -> np.ndarray:
 
 
 def _pieces(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatch]:
-    for piece in text_slices(batch, column):
+    for piece in text_slices(batch, column, 1 << 20):
         for at in range(0, piece.num_rows, 8192):
             yield piece.slice(at, 8192)
 

@@ -30,7 +30,7 @@ from .common import map_arrow, mix, text_slices
 
 MARK = "▁"
 #: Distinct words kept by a worker; beyond it the table starts anew.
-MEMO = 800_000
+MEMO = 500_000
 _NEVER = 1 << 60
 
 #: Powers and inverse powers of an odd base modulo 2**64, for hashes of texts.

@@ -157,7 +157,7 @@ def _balls(centers: dict[int, np.ndarray]):
             dims, cells = batch.column("dim").to_numpy(), batch.column("cell").to_numpy()
             rows = []
             for dim in np.unique(dims):
-                for cell in np.unique(cells[dims == dim]) if int(dim) in centers else ():
+                for cell in np.unique(cells[dims == dim]):
                     x = matrix(batch.column("v").filter(pa.array((dims == dim) & (cells == cell))), int(dim))
                     rows.append({"dim": int(dim), "cell": int(cell), "radius": float(np.linalg.norm(x - centers[int(dim)][cell], axis=1).max())})
             yield pa.RecordBatch.from_pylist(rows, pa.schema([("dim", pa.int32()), ("cell", pa.int32()), ("radius", pa.float64())]))
@@ -183,8 +183,9 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, k
     good = rows.filter(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     good = checkpoint(good)
     centers = pivots(good.select("vec_id", "v"), good.count())
-    held = dict(centers)
     data = checkpoint(celled(good, centers))
+    # Pivots come from a sample: a length that is not in it has one cell, -1, around zero.
+    held = {r["dim"]: np.zeros((1, r["dim"])) for r in data.select("dim").distinct().collect()} | dict(centers)
     queries = checkpoint(data.filter("is_query").select(F.col("vec_id").alias("query_id"), "v", "dim", "cell"))
     sizes, asked = _sizes(data, held), _sizes(queries, held)
     empty = "query_id long, vec_id long, score long"
@@ -205,9 +206,13 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, k
         d = d.select(*(F.col(c).alias(c) for c in [*by, "vec_id", "v"]))
         return q.groupBy(*by).cogroup(d.groupBy(*by)).applyInArrow(_searched(k), empty)
 
+    cells_of: dict[int, list] = {}
+    for d, c in sizes:
+        cells_of.setdefault(d, []).append(c)
+
     # First one block near to each query: of its own cell, or of the nearest cell that has data.
     def closest(dim: int, cell: int) -> int:
-        return min((c for (d, c) in sizes if d == dim), key=lambda c: float(np.linalg.norm(held[dim][c] - held[dim][cell])))
+        return min(cells_of[dim], key=lambda c: float(np.linalg.norm(held[dim][c] - held[dim][cell])))
 
     start = [(d, c, b, 1, _blocks(sizes[d, b][0])) for (d, c) in asked for b in (closest(d, c),)]
     near = paired(start, queries.withColumn("floor", F.lit(float("-inf"))), False)
@@ -216,12 +221,12 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, k
     worst = {(r["dim"], r["cell"]): r["w"] for r in asking.groupBy("dim", "cell").agg(F.min("floor").alias("w")).collect()}
     pairs = []
     for (d, c), (n, rq) in asked.items():
-        for (e, b), (m, rx) in sizes.items():
-            if d == e:
-                pq, px = held[d][c], held[d][b]
-                most = float(pq @ px) + np.linalg.norm(pq) * rx + np.linalg.norm(px) * rq + rq * rx
-                if most * (1 + 1e-12) + 1e-6 >= worst[d, c]:
-                    pairs.append((d, c, b, _blocks(n), _blocks(m)))
+        for b in cells_of[d]:
+            m, rx = sizes[d, b]
+            pq, px = held[d][c], held[d][b]
+            most = float(pq @ px) + np.linalg.norm(pq) * rx + np.linalg.norm(px) * rq + rq * rx
+            if most * (1 + 1e-12) + 1e-6 >= worst[d, c]:
+                pairs.append((d, c, b, _blocks(n), _blocks(m)))
     found = paired(pairs, asking, True)
     # Every task returns k rows a query at most, so a query has k rows for each block at most.
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -85,6 +85,20 @@ def test_top_k(spark, monkeypatch, block):
     assert exact_topk.top_k(table(spark, rows), F.col("vec_id") == -1).count() == 0
 
 
+def test_top_k_of_lengths_outside_the_sample(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=3).tolist()) for i in range(8000)] + [(9000 + i, [1.0 + i, 2.0 - i]) for i in range(4)] + [(9500, [1.0])]
+    whole = spark.createDataFrame([(i, np.floor(256 * np.array(v)).tolist()) for i, v in rows], "vec_id long, v array<double>")
+    assert [d for d, _ in vectors.pivots(whole, len(rows))] == [3]
+    got = exact_topk.top_k(table(spark, rows), F.col("vec_id").isin(0, 9000, 9002, 9500)).orderBy("query_id", "rank").collect()
+    want = []
+    for i in (0, 9000, 9002):
+        x = dict(rows)[i]
+        best = sorted((-int(np.floor(256 * np.array(x)) @ np.floor(256 * np.array(y))), j) for j, y in rows if j != i and len(y) == len(x))[:5]
+        want += [(i, k, j, -s) for k, (s, j) in enumerate(best, 1)]
+    assert [tuple(r) for r in got] == want and len(want) == 11
+
+
 def test_cover_tree():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(400, 3)) * 0.01 + c for c in rng.normal(size=(6, 3)) * 10])

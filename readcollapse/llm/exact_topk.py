@@ -12,8 +12,8 @@ then pruned by the same bound against the worst kth score of a query cell before
 Components x become floor(scale * x); scores are integers and exact (in doubles, so below 2**53).
 
 Defined results: vectors that are null, empty or hold null or non-finite components, or have a null id, take no part; vectors
-of other lengths than the query's are no candidates; an id's repeated rows count once, in queries and in candidates;
-a query with fewer candidates than k returns all; ties go to the smaller id; empty tables give an empty result.
+of other lengths than the query's are no candidates; an id's repeated rows count once, in queries and in candidates (there
+with the best score); a query with fewer candidates than k returns all; ties go to the smaller id; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -84,6 +84,11 @@ class Best:
         return float(np.maximum(self.score[rows, -1], self.floor[rows]).min())
 
     def add(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        # An id's rows are one place before the kth score is taken.
+        order = np.argsort(ids, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(ids[order]) != 0))
+        if len(first) < len(ids):
+            ids, scores = ids[order[first]], np.maximum.reduceat(scores[:, order], first, axis=1)
         least = np.maximum(self.score[rows, -1], self.floor[rows])
         if scores.shape[1] > self.k:
             # What is below a list's kth of these alone cannot enter either.
@@ -94,12 +99,14 @@ class Best:
         rr = np.concatenate([r, np.repeat(np.arange(len(rows)), self.k)])
         ss = np.concatenate([scores[r, c], self.score[rows].ravel()])
         ii = np.concatenate([ids[c], self.id[rows].ravel()])
-        order = np.lexsort((ii, -ss, rr))
+        order = np.lexsort((-ss, ii, rr))
         rr, ss, ii = rr[order], ss[order], ii[order]
-        new = np.ones(len(rr), bool)  # an id's repeated rows have equal scores, so they are neighbours
-        new[1:] = (rr[1:] != rr[:-1]) | (ii[1:] != ii[:-1]) | (ss[1:] != ss[:-1])
+        new = np.ones(len(rr), bool)
+        new[1:] = (rr[1:] != rr[:-1]) | (ii[1:] != ii[:-1])
         new |= ss == -np.inf
         rr, ss, ii = rr[new], ss[new], ii[new]
+        order = np.lexsort((ii, -ss, rr))
+        rr, ss, ii = rr[order], ss[order], ii[order]
         place = np.arange(len(rr)) - np.searchsorted(rr, rr)
         on = place < self.k
         self.score[rows[rr[on]], place[on]] = ss[on]
@@ -228,6 +235,7 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, scale: float = SCALE, k
             if most * (1 + 1e-12) + 1e-6 >= worst[d, c]:
                 pairs.append((d, c, b, _blocks(n), _blocks(m)))
     found = paired(pairs, asking, True)
-    # Every task returns k rows a query at most, so a query has k rows for each block at most.
+    # Every task returns k rows a query at most, so a query has k rows for each block at most; an id's rows may lie in several cells.
+    found = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -99,6 +99,27 @@ def test_top_k_of_lengths_outside_the_sample(spark):
     assert [tuple(r) for r in got] == want and len(want) == 11
 
 
+@pytest.mark.parametrize("copies", [2, 6])
+def test_repeated_ids_take_one_place(spark, copies):
+    rng = np.random.default_rng(6)
+    x = np.floor(256 * rng.normal(size=(30, 8)))
+    best = exact_topk.search(x[:3], np.arange(3), np.repeat(x, copies, axis=0), np.repeat(np.arange(30), copies), 5, np.full(3, -np.inf))
+    rows = [(i, (v / 256).tolist()) for i, v in enumerate(x)] * copies
+    got = exact_topk.top_k(table(spark, rows), F.col("vec_id") < 3).orderBy("query_id", "rank").collect()
+    want = []
+    for i in range(3):
+        top = sorted((-int(x[i] @ y), j) for j, y in enumerate(x) if j != i)[:5]
+        assert best.id[i].tolist() == [j for _, j in top] and best.score[i].tolist() == [-s for s, _ in top]
+        want += [(i, k, j, -s) for k, (s, j) in enumerate(top, 1)]
+    assert [tuple(r) for r in got] == want
+
+
+def test_an_id_of_different_vectors_is_one_candidate(spark):
+    rows = [(0, [1.0, 0.0])] + [(1, [float(j), 1.0]) for j in range(-20, 21)] + [(i, [i / 8.0, 0.0]) for i in range(2, 8)]
+    got = exact_topk.top_k(table(spark, rows), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["vec_id"], r["score"]) for r in got] == [(1, 20 << 16)] + [(i, i << 13) for i in (7, 6, 5, 4)]
+
+
 def test_cover_tree():
     rng = np.random.default_rng(4)
     x = np.concatenate([rng.normal(size=(400, 3)) * 0.01 + c for c in rng.normal(size=(6, 3)) * 10])

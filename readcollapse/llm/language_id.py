@@ -131,6 +131,11 @@ def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2)) -> DataFrame:
 
 
 def accept(docs: DataFrame) -> DataFrame:
-    """Documents whose language can be told: what is `und` (null text, no letter) goes; rows and columns stay as they are."""
+    """Documents whose language can be told: what is null or has no letter goes; rows and columns stay as they are.
+
+    So it is too if nothing can be learned, when predict() gives `und` to all texts.
+    """
     model = train(docs.filter(remainder("doc_id", 4) != 2))
+    if model is None:
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
     return predict(packed(docs, "text"), model, ["row"]).filter("lang_pred <> 'und'").select("row.*")

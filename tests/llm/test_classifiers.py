@@ -36,6 +36,15 @@ def test_languages_without_labels(spark):
     assert language_id.identify(documents(spark, [])).count() == 0
 
 
+def test_accept_without_labels(spark):
+    odd = [(90, None, None, None), (91, "", None, None), (92, "12 34 !!", None, None), (93, "漢字", None, None), (None, "été", None, None)]
+    docs = clashing(documents(spark, [(i, "some text", None, "s") for i in range(20)] + odd))
+    kept = language_id.accept(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {*range(20), 93, None}
+    held = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert language_id.accept(documents(spark, [(i, "some text", "en", "s") for i in held] + odd)).count() == len(held) + 2
+
+
 def test_folded_weights_equal_the_kernel_machine():
     """Scoring by one product gives what kernel values against the landmarks give."""
     rng = random.Random(2)

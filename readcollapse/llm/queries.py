@@ -40,7 +40,7 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.save(table(spark, sf_dir, "documents"))
+    manifest = token_files.save(table(spark, sf_dir, "documents"), added=True)
     return token_files.read_digest(spark, manifest)
 
 

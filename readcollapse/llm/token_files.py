@@ -54,16 +54,19 @@ class Encoder:
 
     In the byte-level pattern a single space or line end between two characters that are no white space always begins a
     token of its own or with the word after it, so words on either side are encoded alike wherever they stand.
-    Texts with other white space go to the library whole.
+    Texts with other white space or an added token go to the library whole.  A special token's name in a text (such
+    as <|endoftext|>) is that token if `added`, as in the library's plain call, and letters like any other if not.
     """
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, added: bool = False):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
-        self.library.encode_special_tokens = True
         made = json.loads(spec)
-        self.split = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"].get("add_prefix_space") and not made.get("normalizer") and (made.get("post_processor") or {}).get("type") in (None, "ByteLevel")
+        self.library.encode_special_tokens = not added
+        # What the library cuts out of a text before anything else; unless `added`, that is not done to special ones.
+        self.added = [t["content"] for t in made.get("added_tokens") or () if added or not t.get("special")]
+        self.split = (made.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not made["pre_tokenizer"].get("add_prefix_space") and not made.get("normalizer") and (made.get("post_processor") or {}).get("type") in (None, "ByteLevel") and not any(c.isspace() for t in self.added for c in t)
         vocab = self.library.get_vocab()
         self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[:1] == "Ġ"]] = True
@@ -76,7 +79,7 @@ class Encoder:
     def _words(self, text: str) -> list[str] | None:
         """Keys of the words: as they are after a space, with a line end in front after one or at the text's beginning."""
         plain = text.replace("\n", " \n")
-        if "  " in plain or "\n\n" in text or text[0].isspace() or text[-1].isspace() or any(c in text for c in _SPACES):
+        if "  " in plain or "\n\n" in text or text[0].isspace() or text[-1].isspace() or any(c in text for c in _SPACES) or any(t in text for t in self.added):
             return None
         words = plain.split(" ")
         words[0] = "\r" + words[0]
@@ -116,18 +119,18 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(spec: str) -> Encoder:
-    return Encoder(spec)
+def _encoder(spec: str, added: bool) -> Encoder:
+    return Encoder(spec, added)
 
 
-def _encoding(spark: SparkSession, tokenizer: str | None, end_id: int | None):
+def _encoding(spark: SparkSession, tokenizer: str | None, end_id: int | None, added: bool):
     """What encode() does to batches (doc_id, text)."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
     tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(held.value)
+        encoder = _encoder(held.value, added)
         for batch in batches:
             for piece in text_slices(batch, "text", 1 << 20):
                 made = encoder.encode(piece.column("text").to_pylist())
@@ -138,9 +141,9 @@ def _encoding(spark: SparkSession, tokenizer: str | None, end_id: int | None):
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, added: bool = False) -> DataFrame:
     """(doc_id, ids array<int>) of docs (doc_id, text), in the order of its rows; the end id closes every document."""
-    run = _encoding(docs.sparkSession, tokenizer, end_id)
+    run = _encoding(docs.sparkSession, tokenizer, end_id, added)
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
 
 
@@ -267,14 +270,14 @@ def write(encoded: DataFrame, folder: str) -> DataFrame:
     return checkpoint(map_arrow(encoded.select("doc_id", "ids"), _writing(folder), MANIFEST))
 
 
-def save(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None) -> DataFrame:
+def save(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, added: bool = False) -> DataFrame:
     """Encodes docs and writes them in ascending doc_id order over all files; returns the manifest.
 
     Texts are dealt by ranges of doc_id before they are encoded, so that finding the ranges encodes nothing.  Both steps share a
     Python worker: encode() and write() after each other would take two for each task.
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    encoding, writing = _encoding(docs.sparkSession, tokenizer, END_ID), _writing(folder or scratch(docs.sparkSession, "tokens"))
+    encoding, writing = _encoding(docs.sparkSession, tokenizer, END_ID, added), _writing(folder or scratch(docs.sparkSession, "tokens"))
     return checkpoint(map_arrow(ordered, lambda batches: writing(encoding(batches)), MANIFEST))
 
 

@@ -10,7 +10,7 @@ import pytest
 from helpers import clashing, documents
 from tokenizers import Tokenizer
 
-from readcollapse.llm import token_files, warc
+from readcollapse.llm import queries, token_files, warc
 
 TEXTS = ["", None, " ", "Hello world's end.", "a\nb\n\nc", "tab\there  two", "été ß 漢字 🙂", "<|endoftext|> text", "word " * 20_000 + "x", "\nstart", "end ", "x y z", "I'll 're it's"]
 
@@ -52,6 +52,17 @@ def test_words_are_encoded_as_in_their_text(library):
     assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_added_tokens_are_encoded_as_by_the_plain_call(spark, tmp_path):
+    plain = Tokenizer.from_file(token_files.default_tokenizer())
+    texts = ["one <|endoftext|> two", "one two", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext|>!", "x\n<|endoftext|>\ny", "<|endoftext |>", "<|endoftext|> <|endoftext|>", "two <|endoftext"]
+    want = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [505, 220, 50256, 734]
+    folder = tmp_path / "documents.parquet"
+    documents(spark, [(k, t, "en", "s") for k, t in enumerate(texts)]).write.parquet(str(folder))
+    got = {r["doc_id"]: (r["n_tokens"], r["ids_crc32"]) for r in queries.op8_token_files(spark, str(tmp_path)).collect()}
+    assert got == {k: (len(x) + 1, zlib.crc32(struct.pack(f"<{len(x) + 1}I", *x, 0))) for k, x in enumerate(want)}
+
+
 def test_random_access(tmp_path, monkeypatch):
     monkeypatch.setattr(token_files, "CHUNK_IDS", 100)
     rng = np.random.default_rng(2)

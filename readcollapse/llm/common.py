@@ -118,11 +118,11 @@ def remainder(doc_id: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) % modulus
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> tuple[list, dict]:
+def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, keep: tuple[str, ...] = ()) -> tuple[list, dict]:
     """At most per_label rows of each label, those with the smallest seeded hash of doc_id; and the counts of all labels.
 
     Labels are counted first, so that a hash threshold keeps about three times what is needed: only that many ids come
-    to the driver, and only the chosen rows' texts.  rows: doc_id, text and the label, without nulls.
+    to the driver, and only the chosen rows' texts.  rows: doc_id, text and the label, without nulls, and the columns `keep`.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
     if not counts:
@@ -138,6 +138,6 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int) -> t
         seen[r[label]] = seen.get(r[label], 0) + 1
         if seen[r[label]] <= per_label:
             ids.append(r["doc_id"])
-    chosen = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", label, "text").collect()
+    chosen = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", label, "text", *keep).collect()
     chosen.sort(key=lambda r: (r["doc_id"], r["text"]))
     return chosen[: per_label * len(counts)], counts

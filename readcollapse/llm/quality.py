@@ -1,7 +1,8 @@
 """Quality classification by a factorisation machine.
 
 Features of a text: its distinct words (hashed), one bin for each structure statistic (shares of capitals, digits, marks, line ends,
-spaces and repeated words, lengths), and one for each metadata column.  The machine adds a weight for each feature and
+spaces and repeated words, lengths), and one for the value of each metadata column that the caller names (numbers are best given
+in bins).  The machine adds a weight for each feature and
 an inner product of two low-rank vectors for each pair.  Scores take linear time, by the identity
 sum over pairs <v_i, v_j> x_i x_j = (|sum v_i x_i|^2 - sum |v_i x_i|^2) / 2.
 
@@ -16,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import U64, labelled_sample, map_arrow, remainder, text_slices, utf8, words
@@ -122,25 +123,32 @@ def fit(parts: tuple[np.ndarray, np.ndarray, np.ndarray], y: np.ndarray, weight:
     return bias, w, v
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = TRAIN_PER_CLASS):
+def _named(meta: list[Column]) -> list[Column]:
+    return [m.cast("string").alias(f"_meta{i}") for i, m in enumerate(meta)]
+
+
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = TRAIN_PER_CLASS, meta: list[Column] = ()):
     """Fits on a bounded sample of labelled documents; a document with several labels counts with each."""
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     # Only ids are joined for the choice of the sample; texts come for what is chosen.
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(marks, "doc_id")
-    sample, counts = labelled_sample(rows, "label", per_class, SEED)
+    names = tuple(f"_meta{i}" for i in range(len(meta)))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_named(meta)).join(marks, "doc_id")
+    sample, counts = labelled_sample(rows, "label", per_class, SEED, names)
     if not counts:
         return None
     y = np.array([r["label"] for r in sample], np.float32)
     have = {k: max(1, int((y == k).sum())) for k in counts}
     weight = np.array([counts[int(k)] / have[int(k)] for k in y], np.float64)
-    parts = [features(pa.array([r["text"] for r in sample[i : i + 500]], pa.string())) for i in range(0, len(sample), 500)]
+    column = lambda c, i: pa.array([r[c] for r in sample[i : i + 500]], pa.string())
+    parts = [features(column("text", i), [column(c, i) for c in names]) for i in range(0, len(sample), 500)]
     shift = np.cumsum([0, *(len(p[0]) for p in parts)])
     begin = np.concatenate([*(p[2][:-1] + s for p, s in zip(parts, shift, strict=False)), shift[-1:]])
     return fit((np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), begin), y, weight)
 
 
-def predict(docs: DataFrame, model) -> DataFrame:
-    """(doc_id, score) of every row of docs (doc_id, text)."""
+def predict(docs: DataFrame, model, meta: list[Column] = ()) -> DataFrame:
+    """(doc_id, score) of every row of docs (doc_id, text and what meta, as in training, is made of)."""
+    count = len(meta)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,14 +156,14 @@ def predict(docs: DataFrame, model) -> DataFrame:
             for piece in text_slices(batch, "text"):
                 value = np.full(piece.num_rows, 0.5)
                 if held.value is not None:
-                    value = 1 / (1 + np.exp(-np.clip(_score(*features(piece.column("text")), *held.value).astype(np.float64), -30, 30)))
+                    value = 1 / (1 + np.exp(-np.clip(_score(*features(piece.column("text"), [piece.column(2 + i) for i in range(count)]), *held.value).astype(np.float64), -30, 30)))
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(value, pa.float64())], ["doc_id", "score"])
 
-    return map_arrow(docs.select("doc_id", "text"), score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    return map_arrow(docs.select("doc_id", "text", *_named(meta)), score, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), threshold: float = THRESHOLD) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, held_out: tuple[int, int] = (5, 0), threshold: float = THRESHOLD, meta: list[Column] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every document; labels of rows with remainder held_out[1] are not read."""
     out_of = remainder("doc_id", held_out[0]) == held_out[1]
-    model = train(docs.filter(~out_of), labels.filter(~out_of))
-    return predict(docs, model).select("doc_id", out_of.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    model = train(docs.filter(~out_of), labels.filter(~out_of), meta=meta)
+    return predict(docs, model, meta).select("doc_id", out_of.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

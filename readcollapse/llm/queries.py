@@ -50,7 +50,8 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.classify(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return quality.classify(docs, table(spark, sf_dir, "labels"), meta=[F.floor(4 * F.log2(F.col("n_chars") + 1))])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_sentencepiece, op2_source_mixing, op3_exact_topk, op4_language_id, op5_secret_scan, op6_embedding_near_dedup, op7_minhash_near_dedup, op8_token_files, op9_warc, op10_quality_classifier)}

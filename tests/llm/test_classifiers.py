@@ -5,6 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import clashing, documents
+from pyspark.sql import functions as F
 
 from readcollapse.llm import language_id, quality
 
@@ -88,6 +89,15 @@ def test_quality(spark):
     assert {r["score"] for r in none} == {0.5} and quality.classify(documents(spark, []), marks).count() == 0
 
 
+def test_quality_learns_from_metadata(spark):
+    """Texts say nothing here; only a metadata column tells the classes apart."""
+    rng = random.Random(8)
+    docs = documents(spark, [(i, text_of(rng, "en", 10), "en", "good" if i % 2 else "bad") for i in range(300)] + [(999, "x", "en", None)])
+    marks = spark.createDataFrame([(i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    hits = lambda **more: np.mean([(r["score"] >= 0.5) == r["doc_id"] % 2 for r in quality.classify(clashing(docs), marks, **more).collect() if r["held_out"]])
+    assert hits() < 0.8 and hits(meta=[F.col("source")]) > 0.95
+
+
 def test_scores_equal_the_sum_over_pairs():
     rng = np.random.default_rng(4)
     w, v = rng.normal(size=quality.SIZE).astype(np.float32), rng.normal(size=(quality.SIZE, quality.RANK)).astype(np.float32) / 10

@@ -16,7 +16,8 @@ is small and in blocks by matrix products if it is large, so no link that joins
 expanded into pairs or read by one task.
 
 Defined results: null, empty and wordless texts link with nothing; a text of one to four words is one shingle; an empty table
-gives an empty result; repeated rows are one class; a null doc_id stays by itself.
+gives an empty result; repeated rows are one class; a null doc_id stays by itself; texts of different words are different
+classes though they share a doc_id.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..runtime import ship
 from .common import U64, checkpoint, map_arrow, mix, packed, shingles, span_hash, text_slices, utf8, words
@@ -161,6 +163,10 @@ def samples(shingle: np.ndarray, weight: np.ndarray, begin: np.ndarray, count: i
     return out
 
 
+def _address(hashes: np.ndarray, first: np.ndarray, mask: np.ndarray) -> list[pa.Array]:
+    return [pa.array(span_hash(hashes, first[:-1], first[1:], base).view(np.int64), mask=mask) for base in (0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
 def signatures(docs: DataFrame, idf) -> DataFrame:
     """(doc_id, c1, c2, total, bands): class address, sum of weights and band codes; c1 is null for wordless texts."""
 
@@ -170,8 +176,6 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                 shingle, weight, begin, hashes, first = weigh(piece.column("text"), idf.value)
                 full = np.diff(first) > 0
                 n = piece.num_rows
-                c1 = span_hash(hashes, first[:-1], first[1:], 0xC2B2AE3D27D4EB4F).view(np.int64)
-                c2 = span_hash(hashes, first[:-1], first[1:], 0x165667B19E3779F9).view(np.int64)
                 total = np.zeros(n)
                 bands = np.zeros((n, BANDS), np.int64)
                 if full.any():
@@ -182,12 +186,23 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
                     for k in range(ROWS):
                         band = mix(band * U64(0x9E3779B97F4A7C15) + codes[:, :, k])
                     bands[full] = band.view(np.int64)
-                mask = ~full
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(c1, mask=mask), pa.array(c2, mask=mask), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))], ["doc_id", "c1", "c2", "total", "bands"])
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), *_address(hashes, first, ~full), pa.array(total), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))], ["doc_id", "c1", "c2", "total", "bands"])
 
     return map_arrow(docs.select("doc_id", "text"), make, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, c1 long, c2 long, total double, bands array<long>")
 
 
+def addressed(rows: DataFrame) -> DataFrame:
+    """rows (text and others) with their class addresses c1 and c2, as signatures() gives them."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in _pieces(batch):
+                hashes, _, _, first = words(*utf8(piece.column("text")))
+                yield pa.RecordBatch.from_arrays([*piece.columns, *_address(hashes, first, np.diff(first) == 0)], [*piece.schema.names, "c1", "c2"])
+
+    return map_arrow(rows, make, T.StructType([*rows.schema.fields, T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType())]))
+
+
 def _similarity(ka, wa, kb, wb) -> float:
     at = np.searchsorted(kb, ka)
     at[at == len(kb)] = 0
@@ -215,10 +230,10 @@ def _verify(idf, least: float):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf, least: float = SIMILARITY) -> DataFrame:
-    """Rows of pairs (a, b) whose texts have a weighted Jaccard similarity of at least `least`.  texts: doc_id, text; one row an id."""
+    """Rows of pairs (a, b) whose texts have a weighted Jaccard similarity of at least `least`.  texts: rep, text; one row a class."""
     kind = pairs.schema["a"].dataType.simpleString()
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
+    left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
     return map_arrow(rows, _verify(idf, least), f"a {kind}, b {kind}, similarity double")
 
@@ -282,23 +297,39 @@ def _block(idf, least: float):
 def link(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """(doc_id, class_id, component_id, kept) of every row of docs (doc_id, text).
 
-    class_id: the smallest id of the same words; component_id: the smallest that links reach; kept: that is this document.
+    class_id: the smallest id of the same words; component_id: the smallest that links reach; kept: that is this document (if linked
+    texts share that id, one of them).
     """
+    return _linked(docs, least)[0].select("doc_id", "class_id", "component_id", "kept")
+
+
+def _linked(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]:
+    """What link() gives, with class addresses c1 and c2; and the ids (_id) whose rows have several, if there are any."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
     idf = spark.sparkContext.broadcast(idf_table(docs))
     sig = checkpoint(signatures(docs, idf))
     real = sig.filter("c1 is not null and doc_id is not null")
-    cls = checkpoint(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.first("total").alias("total"), F.first("bands").alias("bands")))
+    cls = checkpoint(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.first("total").alias("total"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
+    # Classes go by numbers (stored above, so they last): an id may be the smallest of several.
     banded = cls.select("rep", "total", F.explode("bands").alias("band"))
     heads = checkpoint(banded.groupBy("band").agg(F.min(F.struct("rep", "total")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
     many = checkpoint(banded.join(heads, "band").select("band", "rep", "total", F.col("head.rep").alias("head"), F.col("head.total").alias("head_total"), "n"))
     # A pair whose totals differ too much cannot be similar enough; the margin covers rounding.
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-3)
     pairs = many.filter((F.col("rep") != F.col("head")) & alike(F.col("total"), F.col("head_total"))).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    wanted = checkpoint(many.select("rep").distinct())
-    texts = checkpoint(docs.join(wanted, docs["doc_id"] == wanted["rep"], "left_semi").dropDuplicates(["doc_id"]))
+    wanted = checkpoint(cls.join(many.select("rep").distinct(), "rep", "left_semi").select("rep", "smallest", F.col("c1").alias("_1"), F.col("c2").alias("_2")))
+    address = F.struct("c1", "c2")
+    several = checkpoint(sig.filter("doc_id is not null").groupBy("doc_id").agg(F.min(address).alias("x"), F.max(address).alias("y")).filter("not x <=> y").select(F.col("doc_id").alias("_id")))
+    several = None if several.isEmpty() else several
+    own = docs if several is None else docs.join(several, F.col("doc_id") == F.col("_id"), "left_anti")
+    texts = own.join(wanted, F.col("doc_id") == F.col("smallest")).dropDuplicates(["doc_id", "rep"]).select("rep", "text")
+    if several is not None:
+        shared = addressed(docs.join(several, F.col("doc_id") == F.col("_id"), "left_semi"))
+        shared = shared.join(wanted, (F.col("doc_id") == F.col("smallest")) & (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
+        texts = texts.union(shared.dropDuplicates(["doc_id", "c1", "c2", "rep"]).select("rep", "text"))
+    texts = checkpoint(texts)
     links = checkpoint(verify(pairs, texts, idf, least).select("a", "b"))
     labels = components(links)
 
@@ -324,23 +355,34 @@ def link(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         right = members.filter(~small).withColumn("j", place(2, F.col("all"))).withColumn("i", spread(F.col("rest"))).withColumn("side", F.lit(1))
         blocks = left.select("band", "i", "j", "side", "rep", "label").unionByName(right.select("band", "i", "j", "side", "rep", "label"))
         if not members.filter(~small).isEmpty():
-            kind = docs.schema["doc_id"].dataType.simpleString()
-            filled = blocks.join(texts, blocks["rep"] == texts["doc_id"]).drop("doc_id")
-            more = checkpoint(more.union(filled.groupBy("band", "i", "j").applyInPandas(_block(idf, least), f"a {kind}, b {kind}")))
+            filled = blocks.join(texts, "rep")
+            more = checkpoint(more.union(filled.groupBy("band", "i", "j").applyInPandas(_block(idf, least), "a long, b long")))
         if not more.isEmpty():
             labels = components(links.union(more))
-    named = cls.select("c1", "c2", "rep").join(labels, cls["rep"] == labels["node"], "left").select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "rep", F.coalesce("component", "rep").alias("component"))
-    named = checkpoint(named)
-    out = sig.select("doc_id", "c1", "c2").join(named, (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")), "left")
-    out = out.select("doc_id", F.coalesce("rep", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    first = F.struct("smallest", "c1", "c2")
+    named = checkpoint(cls.select("c1", "c2", "rep", "smallest").join(labels, cls["rep"] == labels["node"], "left").select("c1", "c2", "smallest", "component"))
+    heads = named.filter("component is not null").groupBy("component").agg(F.min(first).alias("head")).withColumnRenamed("component", "_c")
+    named = named.join(heads, F.col("component") == F.col("_c"), "left").withColumn("head", F.coalesce("head", first))
+    named = checkpoint(named.select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "smallest", F.col("head.smallest").alias("component"), first.eqNullSafe(F.col("head")).alias("leads")))
+    out = sig.select("doc_id", "c1", "c2").join(named, F.col("doc_id").isNotNull() & (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")), "left")
+    out = out.select("doc_id", "c1", "c2", F.coalesce("smallest", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("leads")).drop("leads"), several
 
 
 def deduplicate(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One document of each group, that with the smallest id; documents without links stay.  Repeated rows of an id are one."""
-    kept = checkpoint(link(docs, least).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id")))
-    repeated = not kept.groupBy("_id").count().filter("count > 1").isEmpty()
+    """One document of each group, that with the smallest id; documents without links stay.  Rows of an id and the same words are one."""
+    linked, several = _linked(docs, least)
+    kept = checkpoint(linked.filter("kept and doc_id is not null").select(F.col("doc_id").alias("_id"), F.col("c1").alias("_1"), F.col("c2").alias("_2")))
+    ids = kept.select("_id")
+    repeated = not ids.groupBy("_id").count().filter("count > 1").isEmpty()
     rows = packed(docs, "doc_id")
-    out = rows.filter("doc_id is not null").join(kept.distinct() if repeated else kept, F.col("doc_id") == F.col("_id"), "left_semi")
+    out = rows.filter("doc_id is not null")
+    out = out if several is None else out.join(several, F.col("doc_id") == F.col("_id"), "left_anti")
+    out = out.join(ids.distinct() if repeated else ids, F.col("doc_id") == F.col("_id"), "left_semi")
     out = out.dropDuplicates(["doc_id"]) if repeated else out
+    if several is not None:
+        # The id does not say which of its texts stays.
+        shared = addressed(packed(docs, "doc_id", "text").join(several, F.col("doc_id") == F.col("_id"), "left_semi"))
+        same = (F.col("doc_id") == F.col("_id")) & F.col("c1").eqNullSafe(F.col("_1")) & F.col("c2").eqNullSafe(F.col("_2"))
+        out = out.unionByName(shared.join(kept, same, "left_semi").dropDuplicates(["doc_id", "c1", "c2"]).select("row", "doc_id"))
     return out.unionByName(rows.filter("doc_id is null")).select("row.*")

@@ -106,6 +106,28 @@ def test_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in nd.deduplicate(documents(spark, rows)).collect()) == ["4", "None", "None"]
 
 
+def test_an_id_of_different_texts(spark):
+    rng = random.Random(7)
+    near = lambda words, k: " ".join([*words[:k], "edit", *words[k + 1 :]])
+    rows, kept, ids = [], [], {}
+    for k in range(0, 200, 10):
+        a, b, c, d = (prose(rng, 120) for _ in range(4))
+        # k + 2 holds a text near to k's, one of its own class, one near to k + 3's, and none; k + 4 holds two texts near to each other.
+        mine = [(k, " ".join(a)), (k + 2, near(a, 60)), (k + 2, " ".join(b)), (k + 2, " ".join(c)), (k + 2, " ".join(c).upper()), (k + 2, None), (k + 3, near(c, 30)), (k + 4, " ".join(d)), (k + 4, near(d, 50))]
+        rows += mine
+        kept += [(k, mine[0][1]), (k + 2, mine[2][1]), (k + 2, mine[3][1]), (k + 2, "")]
+        ids |= {mine[0]: k, mine[1]: k, mine[2]: k + 2, mine[3]: k + 2, mine[6]: k + 2, mine[7]: k + 4, mine[8]: k + 4}
+    rows += [(None, rows[0][1])]
+    docs = clashing(documents(spark, [(i, t, "en", "s") for i, t in rows])).repartition(5)
+    got = sorted((r["doc_id"], (r["text"] or "").lower()) for r in nd.deduplicate(docs).collect() if r["doc_id"] is not None)
+    fours = [x for x in got if x[0] % 10 == 4]
+    assert [x for x in got if x not in fours] == sorted(kept) and [x[0] for x in fours] == list(range(4, 204, 10))
+    links = nd.link(docs).collect()
+    want = [(i, ids.get((i, t), ids.get((i, (t or "").lower()), i))) for i, t in rows]
+    assert sorted(str((r["doc_id"], r["component_id"])) for r in links) == sorted(map(str, want))
+    assert [(r["class_id"], r["component_id"], r["kept"]) for r in links if r["doc_id"] is None] == [(None, None, True)]
+
+
 def test_samples_agree_as_often_as_texts_are_alike():
     rng = random.Random(6)
     a = prose(rng, 400, 10**9)

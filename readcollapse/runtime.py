@@ -33,15 +33,26 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext._jsc.sc()
     if not folder:
         current = context.getCheckpointDir()
+        if not current.isDefined() and not context.isLocal():
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = current.get() if current.isDefined() else "file://" + tempfile.mkdtemp(prefix="checkpoints")
     if not context.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the shared folder: lineage is cut, executors may go."""
+#: Rows of ids and numbers that a stored partition should hold at least, where their number is known.
+PART_ROWS = 1 << 15
+
+
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A reliable checkpoint in the shared folder: lineage is cut, executors may go.
+
+    rows: a bound of df's rows, if one is known.  Every partition is a file, so few rows are then stored in few partitions.
+    """
     shared_folder(df.sparkSession)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // PART_ROWS)))
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,10 +16,46 @@ from ..runtime import bounded_broadcast, checkpoint, scratch, shared_folder, shi
 U64 = np.uint64
 
 
+#: Bytes of a batch that goes to a Python worker: rows can be long texts, of which ten thousand are too many at once.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Sends this package's sources along, and bounds what a session sends to Python at once, where its bound is above BATCH_BYTES."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).rstrip("bB")
+    if now.lstrip("-").isdigit() and not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Gives what a worker has freed back to the machine: workers are kept for other tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow with this package's sources sent along."""
-    ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    """mapInArrow in batches of bounded size."""
+    small_batches(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like `name` that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def packed(df: DataFrame, *columns: str) -> DataFrame:

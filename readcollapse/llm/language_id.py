@@ -8,23 +8,23 @@ them times the inverse root of their own kernel matrix, and a ridge regression o
 Both steps are linear in the presence vector, so landmarks, whitening and regression weights are multiplied once on the
 driver; a batch of texts is then scored by one matrix product, presence (texts x 65536) by weights (65536 x languages).
 
-Defined results: `und` and score 0 for a text that is null or has no letter, and for all texts if nothing can be learned;
+Defined results: `und` and score 0 for a text that is null or has no letter, and for all texts if nothing can be learned; a text of letters
+that no training text has gets some language, with a score of about 1 / languages;
 an empty table gives an empty result; repeated rows give repeated results; ties go to the language that sorts first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import LOWER, labelled_sample, map_arrow, packed, remainder, text_slices, utf8
+from .common import LOWER, fresh, labelled_sample, release, remainder, small_batches, text_slices, utf8
 
 #: Bounds of what is fitted: training texts and landmarks of each language.
 TRAIN_PER_LANGUAGE = 400
@@ -33,7 +33,9 @@ RIDGE = 0.1
 BITS = 16
 SEED = 4
 #: Rows of a presence matrix.
-ROWS = 96
+ROWS = 32
+#: The least score of an accepted document, as a multiple of what chance gives.
+LEAST = 1.2
 
 _FOLD = LOWER.copy()
 _FOLD[[i for i in range(128) if not chr(i).isalpha()]] = 32
@@ -97,45 +99,66 @@ def train(docs: DataFrame, lang: str = "lang", per_language: int = TRAIN_PER_LAN
     return fit([r["text"] for r in sample], [r["lang"] for r in sample]) if counts else None
 
 
-def predict(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
-    """The columns `keep`, lang_pred and score of every row of docs (text and those columns)."""
+def _guess(text: pa.Array, model: Model | None) -> tuple[np.ndarray, np.ndarray]:
+    """Languages and scores of texts."""
+    known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+    best, value = np.full(len(text), "und", object), np.zeros(len(text))
+    if model and known.any():
+        f = model.decide(presence(*utf8(text))).astype(np.float64)
+        e = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
+        top = f.argmax(axis=1)
+        best = np.where(known, np.array(model.languages, object)[top], "und")
+        value = np.where(known, (e / e.sum(axis=1, keepdims=True))[np.arange(len(f)), top], 0.0)
+    return best, value
+
+
+def guess(spark: SparkSession, model: Model | None):
+    """An Arrow function of texts that gives struct (lang_pred, score); only texts go to Python."""
+    small_batches(spark)
     names = model.languages if model else []
-    held = docs.sparkSession.sparkContext.broadcast(model.weights) if model else None
+    held = spark.sparkContext.broadcast(model.weights) if model else None
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = Model(names, held.value) if held else None
-        for batch in batches:
-            for piece in text_slices(batch, "text", 1 << 20):
-                for at in range(0, piece.num_rows, ROWS):
-                    part = piece.slice(at, ROWS)
-                    text = part.column("text")
-                    known = pc.fill_null(pc.match_substring_regex(text, r"\p{L}"), False).to_numpy(zero_copy_only=False)
-                    best, value = np.full(len(text), "und", object), np.zeros(len(text))
-                    if own and known.any():
-                        f = own.decide(presence(*utf8(text))).astype(np.float64)
-                        e = np.exp(4 * (f - f.max(axis=1, keepdims=True)))
-                        top = f.argmax(axis=1)
-                        best = np.where(known, np.array(own.languages, object)[top], "und")
-                        value = np.where(known, (e / e.sum(axis=1, keepdims=True))[np.arange(len(f)), top], 0.0)
-                    yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(best, pa.string()), pa.array(value)], [*keep, "lang_pred", "score"])
-
-    added = T.StructType().add("lang_pred", "string").add("score", "double")
-    return map_arrow(docs.select(*dict.fromkeys([*keep, "text"])), score, T.StructType([*(docs.schema[c] for c in keep), *added]))
+        try:
+            for column in batches:
+                found = []
+                for piece in text_slices(pa.RecordBatch.from_arrays([column], ["text"]), "text", 1 << 20):
+                    for at in range(0, piece.num_rows, ROWS):
+                        found.append(_guess(piece.column(0).slice(at, ROWS), own))
+                best, value = (np.concatenate(x) for x in zip((np.zeros(0, object), np.zeros(0)), *found, strict=True))
+                yield pa.StructArray.from_arrays([pa.array(best, pa.string()), pa.array(value, pa.float64())], ["lang_pred", "score"])
+        finally:
+            release()
+
+    return run
+
+
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
+    """docs (text and others) with `prediction`, a struct of lang_pred and score, under a name that docs does not have; it is the last column."""
+    return docs.withColumn(fresh(docs, "prediction"), guess(docs.sparkSession, model)(F.col("text")))
 
 
 def identify(docs: DataFrame, held_out: tuple[int, int] = (4, 2)) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every document; rows with remainder held_out[1] are not learned from."""
     out_of = remainder("doc_id", held_out[0]) == held_out[1]
     model = train(docs.filter(~out_of))
-    return predict(docs.select("doc_id", "text"), model, ["doc_id"]).select("doc_id", out_of.alias("held_out"), "lang_pred", "score")
+    found = predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", out_of.alias("held_out"), "prediction.lang_pred", "prediction.score")
 
 
-def accept(docs: DataFrame) -> DataFrame:
-    """Documents whose language can be told: what is null or has no letter goes; rows and columns stay as they are.
+def accept(docs: DataFrame, languages: Sequence[str] | None = None, least: float = LEAST) -> DataFrame:
+    """Documents whose predicted language is one of `languages` (None: any that was learned), with a score of at least `least` times chance.
 
-    So it is too if nothing can be learned, when predict() gives `und` to all texts.
+    What is null or has no letter goes, and so does a text that no learned language explains: its decision values are nearly equal, and its score is
+    about that of chance, 1 / learned languages.  Rows and columns that stay are as they were.  If nothing can be learned, texts with a letter stay, unless
+    `languages` names some.
     """
     model = train(docs.filter(remainder("doc_id", 4) != 2))
     if model is None:
-        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    return predict(packed(docs, "text"), model, ["row"]).filter("lang_pred <> 'und'").select("row.*")
+        return docs.filter(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)) if languages is None else F.lit(False))
+    wanted = model.languages if languages is None else list(languages)
+    found = predict(docs, model)
+    kept = F.col(found.columns[-1])
+    return found.filter(kept["lang_pred"].isin(wanted) & (kept["score"] >= min(1.0, least / len(model.languages)))).drop(found.columns[-1])

@@ -29,6 +29,14 @@ def test_languages(spark):
         assert 0 <= r["score"] <= 1 and (r["doc_id"] == 1004 or r["lang_pred"] == want[r["doc_id"]])
     kept = language_id.accept(clashing(documents(spark, rows + odd)))
     assert kept.columns == clashing(documents(spark, [])).columns and kept.count() == len(rows) + 4
+    foreign = [(2000, "αβγδε ζηθικ λμνξο πρστυ φχψω", None, None), (2001, "漢字 仮名 交じり", None, None), (2002, text_of(rng, "ru"), None, None)]
+    docs = documents(spark, rows + foreign).withColumn("prediction", F.lit("taken"))
+    ids = lambda df: {r["doc_id"] for r in df.collect()}
+    # A text that no learned language explains goes, and so does one in a language that is not wanted.
+    kept = language_id.accept(docs)
+    assert ids(kept) == {r[0] for r in rows} | {2002} and kept.columns == docs.columns and kept.filter("prediction <> 'taken'").count() == 0
+    assert ids(language_id.accept(docs, ["ru", "xx"])) == {r[0] for r in rows if r[2] == "ru"} | {2002}
+    assert ids(language_id.accept(docs, least=0)) == {r[0] for r in rows + foreign} and ids(language_id.accept(docs, least=100)) == set()
 
 
 def test_languages_without_labels(spark):

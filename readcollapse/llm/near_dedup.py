@@ -101,19 +101,18 @@ def _sum(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"slice": group["slice"].iloc[:1], "part": [0], "docs": [group["docs"].sum()], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
-def idf_table(docs: DataFrame) -> np.ndarray:
-    """idf of every place of the counting table (float32, 4 MB whatever the input), from all documents."""
+def idf_table(docs: DataFrame) -> tuple[np.ndarray, int]:
+    """idf of every place of the counting table (float32, 4 MB whatever the input), from all documents; and the number of those with words."""
     schema = "slice int, part int, docs long, counts binary"
     parts = map_arrow(docs.select("text"), _count, schema)
     # Summed in two steps, so that no task reads what all tasks have counted.
     parts = parts.groupBy("slice", (F.col("part") % 128).alias("_g")).applyInPandas(_sum, schema).groupBy("slice").applyInPandas(_sum, schema)
     got = parts.collect()
     counts = np.zeros((_SLICES, (1 << DF_BITS) // _SLICES))
-    n = 1
+    n = max((r["docs"] for r in got), default=0)
     for r in got:
         counts[r["slice"]] = np.frombuffer(zlib.decompress(r["counts"]), "<i8")
-        n = max(n, r["docs"])
-    return (1 - np.log(np.clip(counts.ravel() / n, DF_FLOOR, 1))).astype(np.float32)
+    return (1 - np.log(np.clip(counts.ravel() / max(n, 1), DF_FLOOR, 1))).astype(np.float32), n
 
 
 def weigh(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -127,8 +126,14 @@ def weigh(text: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _gamma2() -> np.ndarray:
-    x = np.linspace(0, 40, 4_000_001)
-    return np.interp((np.arange(1 << 16) + 0.5) / (1 << 16), 1 - (1 + x) * np.exp(-x), x).astype(np.float32)
+    """Quantiles of Gamma(2, 1) at the middles of 2**16 equal shares, by bisection: no long table is made."""
+    share = (np.arange(1 << 16) + 0.5) / (1 << 16)
+    low, high = np.zeros(1 << 16), np.full(1 << 16, 40.0)
+    for _ in range(50):
+        middle = (low + high) / 2
+        below = 1 - (1 + middle) * np.exp(-middle) < share
+        low, high = np.where(below, middle, low), np.where(below, high, middle)
+    return high.astype(np.float32)
 
 
 _tables: list[np.ndarray] = []
@@ -308,20 +313,22 @@ def _linked(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text")
-    idf = spark.sparkContext.broadcast(idf_table(docs))
+    table, n = idf_table(docs)
+    idf = spark.sparkContext.broadcast(table)
     sig = checkpoint(signatures(docs, idf))
     real = sig.filter("c1 is not null and doc_id is not null")
-    cls = checkpoint(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.first("total").alias("total"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()))
+    cls = checkpoint(real.groupBy("c1", "c2").agg(F.min("doc_id").alias("smallest"), F.first("total").alias("total"), F.first("bands").alias("bands")).withColumn("rep", F.monotonically_increasing_id()), n)
     # Classes go by numbers (stored above, so they last): an id may be the smallest of several.
     banded = cls.select("rep", "total", F.explode("bands").alias("band"))
-    heads = checkpoint(banded.groupBy("band").agg(F.min(F.struct("rep", "total")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
-    many = checkpoint(banded.join(heads, "band").select("band", "rep", "total", F.col("head.rep").alias("head"), F.col("head.total").alias("head_total"), "n"))
+    heads = checkpoint(banded.groupBy("band").agg(F.min(F.struct("rep", "total")).alias("head"), F.count(F.lit(1)).alias("n")).filter("n > 1"), n * BANDS // 2)
+    many = checkpoint(banded.join(heads, "band").select("band", "rep", "total", F.col("head.rep").alias("head"), F.col("head.total").alias("head_total"), "n"), n * BANDS)
+    in_bands = many.count()
     # A pair whose totals differ too much cannot be similar enough; the margin covers rounding.
     alike = lambda x, y: F.least(x, y) >= F.greatest(x, y) * (least - 1e-3)
     pairs = many.filter((F.col("rep") != F.col("head")) & alike(F.col("total"), F.col("head_total"))).select(F.col("rep").alias("a"), F.col("head").alias("b")).distinct()
-    wanted = checkpoint(cls.join(many.select("rep").distinct(), "rep", "left_semi").select("rep", "smallest", F.col("c1").alias("_1"), F.col("c2").alias("_2")))
+    wanted = checkpoint(cls.join(many.select("rep").distinct(), "rep", "left_semi").select("rep", "smallest", F.col("c1").alias("_1"), F.col("c2").alias("_2")), n)
     address = F.struct("c1", "c2")
-    several = checkpoint(sig.filter("doc_id is not null").groupBy("doc_id").agg(F.min(address).alias("x"), F.max(address).alias("y")).filter("not x <=> y").select(F.col("doc_id").alias("_id")))
+    several = checkpoint(sig.filter("doc_id is not null").groupBy("doc_id").agg(F.min(address).alias("x"), F.max(address).alias("y")).filter("not x <=> y").select(F.col("doc_id").alias("_id")), n)
     several = None if several.isEmpty() else several
     own = docs if several is None else docs.join(several, F.col("doc_id") == F.col("_id"), "left_anti")
     texts = own.join(wanted, F.col("doc_id") == F.col("smallest")).dropDuplicates(["doc_id", "rep"]).select("rep", "text")
@@ -330,16 +337,16 @@ def _linked(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]
         shared = shared.join(wanted, (F.col("doc_id") == F.col("smallest")) & (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")))
         texts = texts.union(shared.dropDuplicates(["doc_id", "c1", "c2", "rep"]).select("rep", "text"))
     texts = checkpoint(texts)
-    links = checkpoint(verify(pairs, texts, idf, least).select("a", "b"))
+    links = checkpoint(verify(pairs, texts, idf, least).select("a", "b").repartition("a"), in_bands)
     labels = components(links)
 
     # What the heads have left apart.
     marked = many.join(labels, many["rep"] == labels["node"], "left").select("band", "rep", "total", "head", "n", F.coalesce("component", "rep").alias("label"))
-    marked = checkpoint(marked)
+    marked = checkpoint(marked, in_bands)
     per = marked.groupBy("band", "label").agg(F.count(F.lit(1)).alias("k"))
-    mixed = checkpoint(per.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("all"), F.max(F.struct("k", "label")).alias("big")).filter("labels > 1").select("band", F.col("big.label").alias("big"), (F.col("all") - F.col("big.k")).alias("rest"), "all"))
+    mixed = checkpoint(per.groupBy("band").agg(F.count(F.lit(1)).alias("labels"), F.sum("k").alias("all"), F.max(F.struct("k", "label")).alias("big")).filter("labels > 1").select("band", F.col("big.label").alias("big"), (F.col("all") - F.col("big.k")).alias("rest"), "all"), in_bands // 2)
     if not mixed.isEmpty():
-        members = checkpoint(marked.join(mixed, "band"))
+        members = checkpoint(marked.join(mixed, "band"), in_bands)
         minor = members.filter("label <> big")
         small = (F.col("rest") * F.col("all") <= PAIRS)
         x = minor.filter(small).select("band", F.col("rep").alias("x"), F.col("label").alias("lx"), F.col("total").alias("tx"), "head")
@@ -360,10 +367,10 @@ def _linked(docs: DataFrame, least: float) -> tuple[DataFrame, DataFrame | None]
         if not more.isEmpty():
             labels = components(links.union(more))
     first = F.struct("smallest", "c1", "c2")
-    named = checkpoint(cls.select("c1", "c2", "rep", "smallest").join(labels, cls["rep"] == labels["node"], "left").select("c1", "c2", "smallest", "component"))
+    named = checkpoint(cls.select("c1", "c2", "rep", "smallest").join(labels, cls["rep"] == labels["node"], "left").select("c1", "c2", "smallest", "component"), n)
     heads = named.filter("component is not null").groupBy("component").agg(F.min(first).alias("head")).withColumnRenamed("component", "_c")
     named = named.join(heads, F.col("component") == F.col("_c"), "left").withColumn("head", F.coalesce("head", first))
-    named = checkpoint(named.select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "smallest", F.col("head.smallest").alias("component"), first.eqNullSafe(F.col("head")).alias("leads")))
+    named = checkpoint(named.select(F.col("c1").alias("_1"), F.col("c2").alias("_2"), "smallest", F.col("head.smallest").alias("component"), first.eqNullSafe(F.col("head")).alias("leads")), n)
     out = sig.select("doc_id", "c1", "c2").join(named, F.col("doc_id").isNotNull() & (F.col("c1") == F.col("_1")) & (F.col("c2") == F.col("_2")), "left")
     out = out.select("doc_id", "c1", "c2", F.coalesce("smallest", "doc_id").alias("class_id"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")) & F.col("leads")).drop("leads"), several

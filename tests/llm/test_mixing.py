@@ -1,3 +1,4 @@
+import hashlib
 import random
 from fractions import Fraction
 
@@ -27,7 +28,7 @@ def plain_targets(sizes):
 def highest_quotients(weights, seats):
     got = dict.fromkeys(weights, 0)
     for _ in range(seats):
-        best = max(weights, key=lambda k: (Fraction(weights[k], 2 * got[k] + 1), -k))
+        best = max(weights, key=lambda k: (Fraction(weights[k]) / (2 * got[k] + 1), -k))
         got[best] += 1
     return got
 
@@ -76,6 +77,48 @@ def test_repeat_does_what_mix_says(spark):
     assert all(words.get(i, 0) == n for i, n in taken.items()) and 90 in words
 
 
+def test_repeated_rows_and_ids_are_repeated_as_the_mix_says(spark):
+    rows = [(7, " ".join(["same"] * 50), "en", "a")] * 40 + [(8, " ".join([f"t{k}"] * 50), "en", "a") for k in range(20)] + [(i, "x " * 900, "en", "b") for i in range(9, 12)]
+    docs = documents(spark, rows)
+    want, got = {}, {}
+    for r in mixing.mix(docs).collect():
+        want[r["doc_id"]] = want.get(r["doc_id"], 0) + r["taken"]
+    for r in mixing.repeat(docs).collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + len(r["text"].split())
+    assert got == {i: n for i, n in want.items() if n} and 0 < want[7] <= 2 * 2000
+
+
+def test_blocks_counted_one_by_one(spark):
+    """Each source's blocks laid out on its rings, and each document's words counted."""
+    rng = random.Random(5)
+    docs = documents(spark, [(i, " ".join(["w"] * rng.choice([0, 3, 17, 200])), "en", rng.choice("abc")) for i in range(150)])
+    rings = {}
+    measured = mixing._measured(docs).collect()
+    source = {r["doc_id"]: r["source"] for r in measured}
+    sizes = {s: sum(r["size"] for r in measured if r["source"] == s) for s in "abc"}
+    for r in measured:
+        shard = mixing_hash(mixing.SEED + 1, r["doc_id"], r["tie"]) % -(-sum(x["source"] == r["source"] for x in measured) // 20)
+        rings.setdefault((r["source"], shard), []).append((mixing_hash(mixing.SEED, r["doc_id"], r["tie"]), r["doc_id"], r["size"]))
+    want_target = plain_targets(sizes)
+    blocks = highest_quotients(dict(enumerate(want_target[s] for s in "abc")), round(sum(want_target.values()) / 16))
+    taken = {}
+    for k, s in enumerate("abc"):
+        words = {shard: sum(x[2] for x in ring) for (name, shard), ring in rings.items() if name == s}
+        quota = highest_quotients(words, blocks[k])
+        for shard, n in words.items():
+            order = [i for _, i, size in sorted(rings[s, shard]) for _ in range(size)]
+            start = mixing_hash(mixing.SEED + 2, k + 1, shard) % max(1, -(-n // 16)) * 16
+            for w in range(min(quota[shard] * 16, 2 * n)):
+                i = order[(start + w) % n]
+                taken[i] = taken.get(i, 0) + 1
+    got = mixing.mix(docs, shard_docs=20).collect()
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: taken.get(i, 0) for i in source}
+
+
+def mixing_hash(seed, *values):
+    return int(hashlib.md5(":".join(map(str, [*values, seed])).encode()).hexdigest()[:15], 16)
+
+
 def test_empty(spark):
     docs = documents(spark, [])
     assert mixing.mix(docs).count() == 0 and mixing.repeat(docs).count() == 0

@@ -64,3 +64,32 @@ def test_redact(spark):
     texts = [r["text"] for r in out.collect()]
     assert None in texts and "nothing here" in texts and "clean text under a used id" in texts
     assert "x [SECRET]\" y" in texts and not any(base(t or "") for t in texts)
+
+
+def test_stored_ledger(spark, tmp_path, monkeypatch):
+    folder = str(tmp_path / "ledger")
+    assert secrets.stored_ledger(spark, folder) is None
+    first = documents(spark, [(1, "token=abcdef", "", ""), (2, "clean", "", ""), (3, "clean", "", "")])
+    assert {r["path"]: len(r["spans"]) for r in secrets.scan_stored(first, folder, "doc_id").collect()} == {1: 1, 2: 0, 3: 0}
+    assert secrets.stored_ledger(spark, folder).count() == 2
+    # New versions: one blob of three was never seen.
+    later = documents(spark, [(1, "clean", "", ""), (4, "token=abcdef", "", ""), (5, "secret=123456", "", ""), (6, None, "", "")])
+    assert {r["path"]: len(r["spans"]) for r in secrets.scan_stored(later, folder, "doc_id").collect()} == {1: 0, 4: 1, 5: 1, 6: 0}
+    assert secrets.stored_ledger(spark, folder).count() == 4
+    secrets.scan_stored(later, folder, "doc_id").collect()
+    assert secrets.stored_ledger(spark, folder).count() == 4
+    secrets.scan_stored(later, folder, "doc_id", rule_version=secrets.RULE_VERSION + 1)
+    assert secrets.stored_ledger(spark, folder).groupBy("rule_version").count().orderBy("rule_version").collect() == [(1, 4), (2, 4)]
+
+
+def test_the_digest_is_read_through_the_ledger(spark, tmp_path):
+    """What the stored ledger says about a blob is what the digest says."""
+    folder = str(tmp_path / "ledger")
+    docs = documents(spark, [(i, f"token=abcdef{i}", "", "") for i in range(8)])
+    assert {r["n_assign"] for r in secrets.digest(docs, folder).collect()} == {1}
+    assert secrets.stored_ledger(spark, folder).count() == 8
+    blank = str(tmp_path / "blank")
+    from pyspark.sql import functions as F
+
+    secrets.stored_ledger(spark, folder).withColumn("spans", F.filter("spans", lambda s: F.lit(False))).write.parquet(blank)
+    assert {r["n_assign"] for r in secrets.digest(docs, blank).collect()} == {0}

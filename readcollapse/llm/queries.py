@@ -40,13 +40,13 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    manifest = token_files.save(table(spark, sf_dir, "documents"), added=True)
-    return token_files.read_digest(spark, manifest)
+    manifest = token_files.save(table(spark, sf_dir, "documents"))
+    return token_files.read_digest(manifest)
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.write(warc.plan(table(spark, sf_dir, "pages")))
-    return warc.read(spark, manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return warc.read(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,9 +24,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 from .common import checkpoint, map_arrow, scratch, text_slices
 
@@ -35,11 +37,14 @@ CHUNK_IDS = 1 << 16
 LEVEL = 3
 MAGIC = b"BPLANES1"
 _TRAILER = struct.Struct("<QQQQ8s")  # where the chunk index, the ids and the counts begin, where they end
-#: Distinct words kept by a worker; beyond it the table starts anew.
-MEMO = 800_000
+#: Distinct keys kept by a worker; beyond it the table starts anew.
+MEMO = 500_000
 #: White space of the pattern but for the space and the line end.
 _SPACES = [chr(c) for c in (9, 11, 12, 13, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+_ASCII_SPACES = _SPACES[:4]
 _MARKS = ".,;:!?$%&#*"
+#: Stands between texts.
+_CUT = "\0"
 MANIFEST = "part int, file string, docs long, ids long"
 
 
@@ -53,12 +58,14 @@ class Encoder:
     """The tokenizers library's ids, with those of words kept.
 
     In the byte-level pattern a single space or line end between two characters that are no white space always begins a
-    token of its own or with the word after it, so words on either side are encoded alike wherever they stand.
+    token of its own or with the word after it, so words on either side are encoded alike wherever they stand.  Texts are
+    split into keys (words, line ends, marks behind a word) and their distinct keys found by Arrow; each key is encoded by the library
+    once, and a text's ids are gathered from those of its keys.
     Texts with other white space or an added token go to the library whole.  A special token's name in a text (such
     as <|endoftext|>) is that token if `added`, as in the library's plain call, and letters like any other if not.
     """
 
-    def __init__(self, spec: str, added: bool = False):
+    def __init__(self, spec: str, added: bool = True):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(spec)
@@ -71,31 +78,26 @@ class Encoder:
         self.starts = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.starts[[i for t, i in vocab.items() if t[:1] == "Ġ"]] = True
         self.line = vocab.get("Ċ", -1)
-        self.memo: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Keys and their ids: `begin` and `size` say where a key's are in `ids`."""
+        self.keys = {"": 0, "\r": 0, _CUT: 0, "\n": 1}
+        self.ids, self.begin, self.size = np.array([max(self.line, 0)], "<u4"), np.zeros(2, np.int64), np.array([0, 1])
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def _words(self, text: str) -> list[str] | None:
-        """Keys of the words: as they are after a space, with a line end in front after one or at the text's beginning."""
-        plain = text.replace("\n", " \n")
-        if "  " in plain or "\n\n" in text or text[0].isspace() or text[-1].isspace() or any(c in text for c in _SPACES) or any(t in text for t in self.added):
+    def _plain(self, text: str) -> str | None:
+        """The text's keys between spaces: words, line ends, and (with a return in front) what begins the text or a line; None if the text has to go whole."""
+        odd = _ASCII_SPACES if text.isascii() else _SPACES
+        if "  " in text or "\n\n" in text or " \n" in text or text[0].isspace() or text[-1].isspace() or _CUT in text or any(c in text for c in odd) or any(t in text for t in self.added):
             return None
-        words = plain.split(" ")
-        words[0] = "\r" + words[0]
-        return words
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        lists = [self._words(t) if t and self.split else None for t in texts]
-        unseen = set().union(*(x for x in lists if x)).difference(memo)
-        # Marks behind a letter are a token sequence of their own, so such words are put together from both.
-        marked = {w: core for w in unseen if (core := w.rstrip(_MARKS)) != w and core[-1:].isalpha()}
-        new = unseen.difference(marked).union(marked.values(), ("\r" + w[len(core) :] for w, core in marked.items())).difference(memo)
-        after_space = [w for w in new if w[0] not in "\n\r"]
-        alone = sorted({w[1:] for w in new if w[0] in "\n\r"})
+        return "\r" + text.replace("\n", " \n \r")
+
+    def _learn(self, keys: list[str]) -> None:
+        """Encodes new keys: words after a space, and (with a return in front) words that stand at a line's beginning or marks."""
+        after_space, alone = [k for k in keys if k[0] != "\r"], [k[1:] for k in keys if k[0] == "\r"]
         if after_space:
             ids = self._ids(" " + " ".join(after_space))
             edges = np.flatnonzero(self.starts[ids])
@@ -104,18 +106,47 @@ class Encoder:
             ids = self._ids("\n".join(alone))
             edges = np.flatnonzero(ids == self.line)
             self._keep(["\r" + w for w in alone], ids, np.concatenate([[0], edges + 1]), np.append(edges, len(ids)))
-            line = np.array([self.line], "<u4").tobytes()
-            for w in alone:
-                memo["\n" + w] = line + memo["\r" + w]
-        for w, core in marked.items():
-            memo[w] = memo[core] + memo["\r" + w[len(core) :]]
-        return [b"".join(map(memo.__getitem__, x)) if x else self._ids(t).tobytes() if t else b"" for t, x in zip(texts, lists, strict=True)]
-
-    def _keep(self, words: list[str], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
-        if len(begin) != len(words):
+
+    def _keep(self, keys: list[str], ids: np.ndarray, begin: np.ndarray, end: np.ndarray) -> None:
+        if len(begin) != len(keys):
             raise ValueError("the tokenizer's words do not begin where they should")
-        packed = ids.tobytes()
-        self.memo.update((w, packed[4 * a : 4 * b]) for w, a, b in zip(words, begin.tolist(), end.tolist(), strict=True))
+        self.keys.update(zip(keys, range(len(self.size), len(self.size) + len(keys)), strict=True))
+        self.begin, self.size = np.append(self.begin, begin + len(self.ids)), np.append(self.size, end - begin)
+        self.ids = np.append(self.ids, ids)
+
+    def _gathered(self, plain: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of texts that _plain() gave, and all their ids."""
+        joined = pa.array([f" {_CUT} ".join([*plain, ""])], pa.large_string())
+        # Marks behind a letter are a token sequence of their own, so they become a key.
+        parted = pc.replace_substring_regex(joined, r"(\pL)([" + _MARKS + r"]+) ", "\\1 \r\\2 ")
+        coded = pc.split_pattern(parted, " ").flatten().dictionary_encode()
+        words, index = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        known = self.keys
+        new = [w for w in words if w not in known]
+        if new:
+            self._learn(new)
+        keys = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        size = self.size[keys].astype(np.int32)[index]
+        stop = np.cumsum(size, dtype=np.int64)
+        take = np.repeat(self.begin[keys][index] - stop + size, size)
+        take += np.arange(stop[-1])
+        return np.diff(stop[index == words.index(_CUT)], prepend=0), self.ids[take]
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all, one after another."""
+        plain = [self._plain(t) if t and self.split else None for t in texts]
+        fit = np.flatnonzero([p is not None for p in plain])
+        count, ids = np.zeros(len(texts), np.int64), np.zeros(0, "<u4")
+        if len(fit):
+            count[fit], ids = self._gathered([plain[i] for i in fit])
+        whole = {i: self._ids(t) for i, t in enumerate(texts) if t and plain[i] is None}
+        if whole:
+            cut = iter(np.split(ids, np.cumsum(count[fit])[:-1])) if len(fit) else iter(())
+            parts = [next(cut) if plain[i] is not None else whole.get(i, ids[:0]) for i in range(len(texts))]
+            count, ids = np.array([len(p) for p in parts], np.int64), np.concatenate(parts)
+        if len(self.keys) > MEMO:
+            self._forget()
+        return count, ids
 
 
 @lru_cache(maxsize=2)
@@ -127,21 +158,22 @@ def _encoding(spark: SparkSession, tokenizer: str | None, end_id: int | None, ad
     """What encode() does to batches (doc_id, text)."""
     with open(tokenizer or default_tokenizer(), encoding="utf-8") as f:
         held = spark.sparkContext.broadcast(f.read())
-    tail = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(held.value, added)
         for batch in batches:
-            for piece in text_slices(batch, "text", 1 << 20):
-                made = encoder.encode(piece.column("text").to_pylist())
-                offsets = np.concatenate([[0], np.cumsum([(len(m) + len(tail)) // 4 for m in made])]).astype(np.int32)
-                values = np.frombuffer(tail.join([*made, b""]), "<i4")
-                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], ["doc_id", "ids"])
+            for piece in text_slices(batch, "text"):
+                count, ids = encoder.encode(piece.column("text").to_pylist())
+                if end_id is not None:
+                    ids = np.insert(ids, np.cumsum(count), end_id)
+                    count += 1
+                offsets = np.concatenate([[0], np.cumsum(count)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids.astype("<i4")))], ["doc_id", "ids"])
 
     return run
 
 
-def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, added: bool = False) -> DataFrame:
+def encode(docs: DataFrame, tokenizer: str | None = None, end_id: int | None = END_ID, added: bool = True) -> DataFrame:
     """(doc_id, ids array<int>) of docs (doc_id, text), in the order of its rows; the end id closes every document."""
     run = _encoding(docs.sparkSession, tokenizer, end_id, added)
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, ids array<int>")
@@ -267,10 +299,15 @@ def _writing(folder: str):
 
 def write(encoded: DataFrame, folder: str) -> DataFrame:
     """Writes one file for each partition of encoded (doc_id, ids), in its order; the manifest (part, file, docs, ids), stored."""
-    return checkpoint(map_arrow(encoded.select("doc_id", "ids"), _writing(folder), MANIFEST))
+    return _stored(map_arrow(encoded.select("doc_id", "ids"), _writing(folder), MANIFEST))
+
+
+def _stored(manifest: DataFrame) -> DataFrame:
+    """One partition of a row a file.  All rows meet in one task, so if files are written again after a loss each is there once, under its last name."""
+    return checkpoint(manifest.repartition(1))
 
 
-def save(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, added: bool = False) -> DataFrame:
+def save(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, added: bool = True) -> DataFrame:
     """Encodes docs and writes them in ascending doc_id order over all files; returns the manifest.
 
     Texts are dealt by ranges of doc_id before they are encoded, so that finding the ranges encodes nothing.  Both steps share a
@@ -278,16 +315,14 @@ def save(docs: DataFrame, folder: str | None = None, tokenizer: str | None = Non
     """
     ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoding, writing = _encoding(docs.sparkSession, tokenizer, END_ID, added), _writing(folder or scratch(docs.sparkSession, "tokens"))
-    return checkpoint(map_arrow(ordered, lambda batches: writing(encoding(batches)), MANIFEST))
+    return _stored(map_arrow(ordered, lambda batches: writing(encoding(batches)), MANIFEST))
 
 
-def _numbered(spark: SparkSession, manifest: DataFrame) -> DataFrame:
-    """(file, start) of every file in order.  The manifest has a row a file; only that comes to the driver."""
-    files, at = [], 0
-    for r in sorted(manifest.collect(), key=lambda r: (r["part"], r["file"])):
-        files.append((r["file"], at))
-        at += r["ids"]
-    return spark.createDataFrame(files, "file string, start long").repartition(max(1, len(files)), "file")
+def _numbered(manifest: DataFrame) -> DataFrame:
+    """(file, start) of every file, each a partition.  Files are numbered in one task: the manifest has a row a file."""
+    before = Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)
+    files = manifest.select("file", F.coalesce(F.sum("ids").over(before), F.lit(0)).alias("start"))
+    return files.repartition(max(1, manifest.count()))
 
 
 def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -320,9 +355,9 @@ def _digesting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _DIGEST = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def read(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read(manifest: DataFrame) -> DataFrame:
     """(doc_id, start, ids) of every document in the files; start counts the ids of all documents before it."""
-    return map_arrow(_numbered(spark, manifest), _reading, "doc_id long, start long, ids array<int>")
+    return map_arrow(_numbered(manifest), _reading, "doc_id long, start long, ids array<int>")
 
 
 def digest(stored: DataFrame) -> DataFrame:
@@ -330,6 +365,6 @@ def digest(stored: DataFrame) -> DataFrame:
     return map_arrow(stored, _digesting, _DIGEST)
 
 
-def read_digest(spark: SparkSession, manifest: DataFrame) -> DataFrame:
+def read_digest(manifest: DataFrame) -> DataFrame:
     """digest(read(...)) in one Python worker for each task instead of two."""
-    return map_arrow(_numbered(spark, manifest), lambda batches: _digesting(_reading(batches)), _DIGEST)
+    return map_arrow(_numbered(manifest), lambda batches: _digesting(_reading(batches)), _DIGEST)

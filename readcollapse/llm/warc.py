@@ -24,13 +24,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, map_arrow, scratch
 
 MIN_REVISIT = 1000
 SPLIT_BYTES = 4 << 20
+MAX_TASKS = 50_000
 LEVEL = 4
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2020-01-01T00:00:00Z"
@@ -106,7 +107,8 @@ def write(planned: DataFrame, folder: str | None = None) -> DataFrame:
             stream.close()
             yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "file": pa.array([f"{folder}/{name}"]), "bytes": pa.array([size], pa.int64()), "records": pa.array([records], pa.int64())})
 
-    return checkpoint(map_arrow(planned, run, MANIFEST))
+    # All rows of the manifest, one a file, meet in one task: if archives are written again after a loss each is there once, under its last name.
+    return checkpoint(map_arrow(planned, run, MANIFEST).repartition(1))
 
 
 class Window:
@@ -171,6 +173,7 @@ def members(stream, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
 
     Bytes of a member's data can look like members themselves: an archive inside an archive, which deflate stores as it is.
     A stored block has 65535 bytes at most, so a chain of members that is longer, or ends with the file, is a real one.
+    Where one ends another one has to begin: if none does, also behind the last one of the range, the file is damaged and ValueError is raised.
     """
     window, at, known = Window(stream, start), start, start == 0
     while at < min(stop, window.size):
@@ -183,13 +186,17 @@ def members(stream, start: int, stop: int) -> Iterator[tuple[int, bytes]]:
                 continue
             at += found
         got = chain(window, at, 0 if known else STORED)
+        if got is None and known:
+            raise ValueError(f"no record begins at byte {at}")
         if got is None:
-            at, known = at + 1, False
+            at += 1
             continue
         for offset, data in got[:-1]:
             if offset < stop:
                 yield offset, data
         at, known = got[-1][0], True
+    if known and stop <= at < window.size and member(window, at) is None:
+        raise ValueError(f"no record begins at byte {at}")
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -207,13 +214,15 @@ def _page(urn: str | None) -> int | None:
     return int(found[1]) if found else None
 
 
-def read(spark: SparkSession, manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+def read(manifest: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Every response and revisit record of the files, with payload (null in revisits) and where it stands.
 
-    The manifest has a row a file; the driver cuts the files into ranges, and tasks scan those.
+    Files are cut into ranges, which are dealt evenly to at most MAX_TASKS tasks.
     """
-    ranges = [(r["file"], a, min(a + split_bytes, r["bytes"])) for r in manifest.collect() for a in range(0, r["bytes"], split_bytes)]
-    rows = spark.createDataFrame(ranges, "file string, start long, stop long").repartition(max(1, len(ranges)), "file", "start")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
+    rows = manifest.select("file", "bytes", starts.alias("start")).select("file", "start", F.least(F.col("start") + split_bytes, F.col("bytes")).alias("stop"))
+    count = manifest.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0]
+    rows = rows.repartition(max(1, min(count or 1, MAX_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("url", pa.string()), ("file", pa.string()), ("offset", pa.int64())])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 METHODS = ("highest_count", "adjacency", "directional")
@@ -12,18 +13,27 @@ DEFAULT_DISTANCE = 1
 DEFAULT_ERROR_RATE = 0.001
 
 
+#: One file's slice: a stop by itself, or start and stop with an optional step.  A bound is an integer, or open (nothing, or the word None).
+_BOUND = r"\s*(?:None|[+-]?\d+)?\s*"
+_SLICE = re.compile(rf"(?P<only>{_BOUND})|(?P<start>{_BOUND}):(?P<stop>{_BOUND})(?::(?P<step>{_BOUND}))?")
+
+
+def _slice(written: str) -> slice:
+    found = _SLICE.fullmatch(written)
+    if found is None:
+        if written.count(":") > 2:
+            raise TypeError(f"{written!r} has more than a start, a stop and a step")
+        raise ValueError(f"{written!r} is no slice: its parts are integers or left open")
+    bounds = {name: None if (value or "").strip() in ("", "None") else int(value) for name, value in found.groupdict().items()}
+    return slice(bounds["only"]) if found["only"] is not None else slice(bounds["start"], bounds["stop"], bounds["step"])
+
+
 def parse_slices(text: str) -> list[slice]:
-    """One slice for each file: files are separated by commas, a slice's parts by colons; an empty part or `None` is left open.
+    """Slices written as in Python, one for each file, with commas between files; `8` means the first eight.
 
-    `8` means the first eight.  A part that is no integer raises ValueError, more than three parts raise TypeError.
+    A part that is no integer raises ValueError, more than three parts raise TypeError.
     """
-    out = []
-    for one in text.split(","):
-        parts = [None if p in ("", "None") else int(p) for p in one.split(":")]
-        if len(parts) > 3:
-            raise TypeError(f"a slice has at most three parts: {one!r}")
-        out.append(slice(*parts))
-    return out
+    return list(map(_slice, text.split(",")))
 
 
 def output_names(count: int, given: list[str] | None = None, prefix: str = DEFAULT_PREFIX) -> list[str]:

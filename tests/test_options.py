@@ -7,18 +7,20 @@ from readcollapse.options import DedupOptions, output_names, parse_slices
 @pytest.mark.parametrize(
     ("text", "slices"),
     [
-        ("5,6,7", [slice(5), slice(6), slice(7)]),
-        ("5:8,3,-5:3:-1", [slice(5, 8), slice(3), slice(-5, 3, -1)]),
-        ("None:None:16", [slice(None, None, 16)]),
-        ("::16", [slice(None, None, 16)]),
-        ("8,", [slice(8), slice(None)]),
+        ("12", [slice(12)]),
+        ("-3,0", [slice(-3), slice(0)]),
+        (" 2 : 9 ,+4", [slice(2, 9), slice(4)]),
+        ("1:None", [slice(1, None)]),
+        (":-2:3,None", [slice(None, -2, 3), slice(None)]),
+        (",:", [slice(None), slice(None, None)]),
+        ("9:1:-2", [slice(9, 1, -2)]),
     ],
 )
 def test_slices(text, slices):
     assert parse_slices(text) == slices
 
 
-@pytest.mark.parametrize(("text", "error"), [("a", ValueError), ("1:2:3:4", TypeError)])
+@pytest.mark.parametrize(("text", "error"), [("x", ValueError), ("1:y", ValueError), ("2.5", ValueError), ("1 2", ValueError), (":::", TypeError), ("4:3:2:1,8", TypeError)])
 def test_bad_slices(text, error):
     with pytest.raises(error):
         parse_slices(text)

@@ -11,13 +11,13 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..options import DEFAULT_OFFSET
+from .slices import once
 
 #: Probability of an error for each score.  Values of Python's power: Java's differs in the last place for some scores.
 ERROR_RATES = [10 ** -(score / 10) for score in range(128)]
 
 
-def checked_qualities(quality: Column, offset: int = DEFAULT_OFFSET) -> Column:
-    """quality; characters that are not ASCII or not from the offset to 126 raise."""
+def _checked(quality: Column, offset: int) -> Column:
     if not 0 <= offset <= 126:
         raise ValueError("the offset must be from 0 to 126")
     plain = quality.isNull() | quality.rlike(r"\A[\x{%x}-\x7e]*\z" % offset)
@@ -26,15 +26,23 @@ def checked_qualities(quality: Column, offset: int = DEFAULT_OFFSET) -> Column:
     return F.when(plain, quality).otherwise(F.raise_error(message).cast("string"))
 
 
-def average_error_rate(quality: Column, offset: int = DEFAULT_OFFSET, check: bool = True) -> Column:
-    """Sum of error rates from left to right, divided by the length; NaN for an empty string, null for null."""
-    quality = checked_qualities(quality, offset) if check else quality
+def checked_qualities(quality: Column, offset: int = DEFAULT_OFFSET) -> Column:
+    """quality; characters that are not ASCII or not from the offset to 126 raise."""
+    return once(quality, lambda q: _checked(q, offset))
+
+
+def _rate(quality: Column, offset: int) -> Column:
     table = F.array(*map(F.lit, ERROR_RATES))
     rates = F.transform(F.split(quality, ""), lambda c: F.get(table, F.ascii(c) - offset))
     total = F.aggregate(rates, F.lit(0.0), lambda total, rate: total + rate)
     return F.when(F.length(quality) == 0, F.lit(float("nan"))).otherwise(total / F.length(quality))
 
 
+def average_error_rate(quality: Column, offset: int = DEFAULT_OFFSET, check: bool = True) -> Column:
+    """Sum of error rates from left to right, divided by the length; NaN for an empty string, null for null."""
+    return once(quality, lambda q: once(_checked(q, offset), lambda c: _rate(c, offset)) if check else _rate(q, offset))
+
+
 def average_error_rate_arrow(offset: int = DEFAULT_OFFSET):
     """The same as an Arrow function on batches: one addition for each position in all strings, so sums also run from left to right."""
 
@@ -64,7 +72,7 @@ def average_error_rate_arrow(offset: int = DEFAULT_OFFSET):
 def passes(quality: Column, most: float, offset: int = DEFAULT_OFFSET) -> Column:
     """Whether a row is kept: its rate is not above `most`.  Without qualities there is no rate, and the row is kept."""
     # NaN is above any number in Spark, so empty strings are told apart first.
-    return quality.isNull() | (F.length(quality) == 0) | ~(average_error_rate(quality, offset) > most)
+    return once(quality, lambda q: q.isNull() | (F.length(q) == 0) | ~(average_error_rate(q, offset) > most))
 
 
 def quality_filter(reads: DataFrame, quality: Column, most: float, offset: int = DEFAULT_OFFSET, observed: Observation | None = None) -> DataFrame:

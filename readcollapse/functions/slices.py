@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value), where value is computed once however often f names it.
+
+    A filter's condition is pushed below projections with every name in it replaced by the expression it stands for; here the expression
+    stands in the condition once, and f names a lambda's variable.
+    """
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _bound(x: int | None, length: Column, low: Column, high: Column, default: Column) -> Column:
     if x is None:
         return default
@@ -50,6 +59,11 @@ def quality_key(qualities: Sequence[Column], parts: Sequence[slice] | None = Non
     return F.concat_ws("", *(F.coalesce(slice_text(F.get(there, i), p), F.lit("")) for i, p in enumerate(parts)))
 
 
+def is_ascii(text: Column) -> Column:
+    return once(text, lambda t: F.octet_length(t) == F.length(t))
+
+
 def checked_key(text: Column) -> Column:
     """text; a key that is not ASCII raises."""
-    return F.when(text.isNull() | (F.octet_length(text) == F.length(text)), text).otherwise(F.raise_error(F.concat(F.lit("keys must be ASCII encoded: "), text)).cast("string"))
+    refuse = lambda t: F.raise_error(F.concat(F.lit("keys must be ASCII encoded: "), t)).cast("string")
+    return once(text, lambda t: F.when(t.isNull() | is_ascii(t), t).otherwise(refuse(t)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +17,11 @@ def count_keys(reads: DataFrame, key: Column) -> DataFrame:
     return reads.groupBy(key.alias("seq")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def delete_keys(keys: DataFrame, gone: DataFrame) -> DataFrame:
+    """keys (seq, n) without those of gone (seq), all their copies."""
+    return keys.join(gone.select("seq"), "seq", "left_anti")
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     """Links from and to: (a, an, b, bn) and its mirror."""
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("bn").alias("an"), F.col("a").alias("b"), F.col("an").alias("bn")))
@@ -32,13 +38,32 @@ def highest_count(clustered: DataFrame) -> DataFrame:
     return clustered.groupBy("cluster_id").agg(F.max(F.struct("n", "seq")).alias("top")).select("top.seq")
 
 
+#: Rounds after which small components are settled by a task each, and how many links those may have.
+ROUNDS = 16
+TASK_LINKS = 1 << 20
+
+
+def _greedy(links: pd.DataFrame) -> pd.DataFrame:
+    """(seq) of the keys of a component's links that are kept, from the highest rank on."""
+    near = links.groupby("a")["b"].agg(list).to_dict()
+    order = links.drop_duplicates("a").sort_values(["an", "a"], ascending=False)["a"]
+    kept, gone = [], set()
+    for key in order:
+        if key not in gone:
+            kept.append(key)
+            gone.update(near[key])
+    return pd.DataFrame({"seq": pd.Series(kept, dtype=object)})
+
+
 def adjacency(keys: DataFrame, pairs: DataFrame) -> DataFrame:
     """(seq) of the keys kept by taking the highest-ranked one, dropping its neighbours, and so on.
 
     By rounds: an open key that outranks all its open neighbours is kept, and its neighbours are dropped.  That gives the
-    same set as one key at a time; ranks are (n, seq).  Only keys with neighbours go through rounds.
+    same set as one key at a time; ranks are (n, seq).  Only keys with neighbours go through rounds.  A chain of falling ranks takes a round for
+    every other key: after ROUNDS rounds, the components of what is open that have TASK_LINKS links at most are
+    settled by one task each, one key at a time; rounds go on for larger ones.
     """
-    links = checkpoint(both_ways(pairs))
+    links, rounds = checkpoint(both_ways(pairs)), 0
     lonely = keys.join(links.select(F.col("a").alias("seq")).distinct(), "seq", "left_anti").select("seq")
     kept = lonely
     while not links.isEmpty():
@@ -51,6 +76,13 @@ def adjacency(keys: DataFrame, pairs: DataFrame) -> DataFrame:
         open_before = rest.select("a").distinct()
         links = checkpoint(rest.join(gone, F.col("b") == F.col("_gone"), "left_anti"))
         kept = checkpoint(kept.union(open_before.join(links.select("a").distinct(), "a", "left_anti")))
+        rounds += 1
+        if rounds % ROUNDS == 0:
+            named = checkpoint(links.join(components(links.select("a", "b")), F.col("a") == F.col("node")).select(*links.columns, "component"))
+            small = named.groupBy("component").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") <= TASK_LINKS).select(F.col("component").alias("_c"))
+            settled = named.join(small, F.col("component") == F.col("_c"), "left_semi").groupBy("component").applyInPandas(_greedy, "seq string")
+            kept = checkpoint(kept.union(settled))
+            links = checkpoint(named.join(small, F.col("component") == F.col("_c"), "left_anti").select(*links.columns))
     return kept.select(F.col(kept.columns[0]).alias("seq"))
 
 
@@ -91,9 +123,16 @@ def survivors(keys: DataFrame, pairs: DataFrame, method: str = "directional") ->
 
 
 def first_records(reads: DataFrame, kept: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of reads (in order) for each key kept, whatever its quality."""
+    """The first row of reads (in order) for each key kept, whatever its quality.
+
+    Each key's first place is found before any row is moved: minima are combined where the reads are, so a key that very many
+    reads have is no more work than another.  Rows are then fetched by key and place, which such a key's rows do not share.
+    """
     names = reads.columns
+    row = reads.select(key.alias("_key"), order.alias("_place"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"))
     # Null-safe, so that no "is not null" of the key's whole expression is derived, copied and pushed below the projections.
-    rows = reads.withColumn("_key", key).join(kept.select(F.col("seq").alias("_seq")), F.col("_key").eqNullSafe(F.col("_seq")), "left_semi")
-    first = rows.groupBy("_key").agg(F.min_by(F.struct(*names), order).alias("r"))
-    return first.select(*(F.col("r")[c].alias(c) for c in names))
+    first = row.groupBy("_key").agg(F.min("_place").alias("_first")).withColumnRenamed("_key", "_seq")
+    first = first.join(kept.select(F.col("seq").alias("_kept")), F.col("_seq").eqNullSafe(F.col("_kept")), "left_semi")
+    found = row.join(first, F.col("_key").eqNullSafe(F.col("_seq")) & F.col("_place").eqNullSafe(F.col("_first")))
+    # Places may be equal; one of those rows is taken.
+    return found.groupBy("_key").agg(F.first("r").alias("r")).select(*(F.col("r")[c].alias(c) for c in names))

@@ -28,6 +28,7 @@ def check_alphabet(letters: str) -> str:
 
 def letters(keys: DataFrame, known: str = "") -> DataFrame:
     """(letter, place): the known letters in order, then what else the keys hold, by code."""
+    check_alphabet(known)
     found = keys.select(F.explode(F.array_distinct(F.split("seq", ""))).alias("letter")).filter("letter <> ''").distinct()
     if known:
         given = found.sparkSession.createDataFrame([(c,) for c in known], "letter string")
@@ -73,9 +74,9 @@ def report(keys: DataFrame, known: str = ALPHABET) -> str:
     for r in rows:
         table.setdefault(r["layer"], [0] * (width + 1))[r["capacity"]] += r["nodes"]
     lines = [[str(k), *v, sum(v)] for k, v in sorted(table.items())]
-    lines.append(["total", *(sum(x[i] for x in lines) for i in range(1, width + 3))])
-    head = f"{'layer':>10}{'terminal':>10}" + "".join(f"{i:>10}" for i in range(1, width + 1)) + f"{'total':>10}"
+    lines.append(["all", *(sum(x[i] for x in lines) for i in range(1, width + 3))])
+    head = f"{'depth':>10}{'leaves':>10}" + "".join(f"{f'room {i}':>10}" for i in range(1, width + 1)) + f"{'nodes':>10}"
     total = sum(r["bytes"] for r in rows)
     node = sum(r["nodes"] * (NODE_BYTES + CHILD_BYTES * r["capacity"]) for r in rows)
-    sizes = [f"{name} memory usage: {value / 1024**3:.2} GiB" for name, value in (("Node", node), ("Suffix", total - node), ("Total", total))]
+    sizes = [f"{name}: {value / 1024**3:.2} GiB" for name, value in (("nodes", node), ("suffixes", total - node), ("nodes and suffixes", total))]
     return "\n".join([head, *("".join(f"{x:>10}" for x in line) for line in lines), *sizes]) + "\n"

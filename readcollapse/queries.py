@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.distance import hamming_distance, within_distance
-from .functions.quality import average_error_rate, average_error_rate_arrow, passes, quality_filter
+from .functions.quality import average_error_rate, average_error_rate_arrow, quality_filter
 from .functions.records import are_mates, numbered, zipped
-from .functions.slices import key, quality_key, slice_text
+from .functions.slices import is_ascii, key, quality_key, slice_text
 from .operators import clusters as c
 from .operators import shape
 from .operators.pairs import contains
@@ -117,7 +117,10 @@ def filter_by_quality(spark, sf_dir):
 
 @query(f"WITH {_rated('dense')} SELECT count(*) AS total, count(*) FILTER (rate > {RATE}) AS discarded FROM rated")
 def quality_summary(spark, sf_dir):
-    return reads(spark, sf_dir, "dense").agg(F.count(F.lit(1)).alias("total"), F.count_if(~passes(F.col("qualities"), RATE)).alias("discarded"))
+    """What the filter observes while reads pass it."""
+    seen = Observation()
+    quality_filter(reads(spark, sf_dir, "dense"), F.col("qualities"), RATE, observed=seen).write.format("noop").mode("overwrite").save()
+    return spark.createDataFrame([(seen.get["total"], seen.get["discarded"])], "total long, discarded long")
 
 
 @query(f"WITH reads AS ({reads_sql('varlen')}) SELECT name, substr(sequence, 1, 5) AS s1, substr(sequence, 3, 5) AS s2, substr(sequence, greatest(length(sequence) - 4, 1), 4) AS s3, substr(sequence, 9) AS s4, '' AS s5 FROM reads")
@@ -181,6 +184,12 @@ _pair_query("edit_pairs_d1", "varlen", "levenshtein", 1)
 _pair_query("edit_pairs_d2", "varlen", "levenshtein", 2)
 
 
+@query(f"WITH {_keys('varlen')} SELECT seq, n FROM k WHERE n >= 3")
+def delete_keys(spark, sf_dir):
+    keys = job(spark, sf_dir, "varlen").keys
+    return c.delete_keys(keys, keys.filter("n < 3").select("seq"))
+
+
 def _contains_query(name: str, metric: str, most: int) -> None:
     def run(spark, sf_dir):
         keys = job(spark, sf_dir, "varlen").keys
@@ -254,7 +263,7 @@ def mate_check(spark, sf_dir):
 @query("SELECT count(*) AS total, count(*) FILTER (octet_length(encode(text)) <> length(text)) AS rejected FROM documents")
 def ascii_check(spark, sf_dir):
     """Texts that keys may not be made of."""
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.octet_length("text") != F.length("text")).alias("rejected"))
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count(F.lit(1)).alias("total"), F.count_if(~is_ascii(F.col("text"))).alias("rejected"))
 
 
 @query(f"WITH {_keys('dense')}, l AS (SELECT DISTINCT unnest(string_split(seq, '')) AS letter FROM k UNION SELECT 'N') SELECT letter, (row_number() OVER (ORDER BY instr('ACGTN', letter)) - 1)::INT AS place FROM l")

@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from readcollapse.operators.clusters import clusters, count_keys, custom, survivors
+import readcollapse.operators.clusters as clusters_module
+from readcollapse.operators.clusters import clusters, count_keys, custom, first_records, survivors
 from readcollapse.operators.components import components
 from readcollapse.operators.pairs import contains, similarity_pairs
 from readcollapse.operators.shape import check_alphabet, letters, memory, nodes, report, shape
@@ -126,6 +127,35 @@ def test_custom(spark):
     assert [r["seq"] for r in got] == ["AAAGT"]
 
 
+def test_deleted_keys(spark):
+    keys = keyed(spark, {"AA": 3, "AC": 1, "T": 2})
+    gone = spark.createDataFrame([("AA",), ("GG",), ("T",), ("T",)], "seq string")
+    assert [tuple(r) for r in clusters_module.delete_keys(keys, gone).collect()] == [("AC", 1)]
+    assert contains(clusters_module.delete_keys(keys, gone), gone, 1).filter("found").count() == 1  # AA is within one of AC
+
+
+@pytest.mark.parametrize("links", [1 << 20, 10])
+def test_adjacency_settles_long_chains(spark, monkeypatch, links):
+    """A chain of falling counts would take a round for every other key."""
+    monkeypatch.setattr(clusters_module, "ROUNDS", 2)
+    monkeypatch.setattr(clusters_module, "TASK_LINKS", links)
+    chain = ["A" * k + "C" * (12 - k) for k in range(13)]
+    counts = {w: 100 - k for k, w in enumerate(chain)} | {"G" * 9: 5, "G" * 8 + "T": 5, "T" * 30: 1}
+    keys = keyed(spark, counts)
+    got = sorted(r["seq"] for r in survivors(keys, similarity_pairs(keys, 1, "hamming"), "adjacency").collect())
+    assert got == plain(counts, 1, "hamming", "adjacency") and len(got) == 9
+
+
+def test_first_records_of_a_hot_key(spark):
+    rows = [(i, "hot" if i % 20 else f"k{i}", i % 7) for i in range(2000)] + [(5000, None, 0), (5001, "hot", 0), (5001, "hot", 0)]
+    reads = spark.createDataFrame(rows, "i int, k string, _key int")
+    kept = spark.createDataFrame([("hot",), ("k40",), ("absent",)], "seq string")
+    got = first_records(reads, kept, F.col("k"), F.col("i"))
+    assert got.columns == reads.columns and sorted(got.collect()) == [(1, "hot", 1), (40, "k40", 5)]
+    tied = first_records(reads, kept, F.col("k"), F.lit(0)).collect()
+    assert sorted(r["k"] for r in tied) == ["hot", "k40"]
+
+
 def test_components(spark):
     rng = random.Random(3)
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(80)] + [(7, 7), (None, 3)]
@@ -177,7 +207,19 @@ def test_shape(spark):
     assert got["total_bytes"] == sum(8 + 8 * c + s for _, c, s in want) and got["suffix_bytes"] == sum(s for _, _, s in want)
     assert shape(keys).agg(F.sum("nodes")).first()[0] == len(want)
     assert [r["letter"] for r in letters(keys, "ACGTN").orderBy("place").collect()] == list("ACGTNX")
-    assert "Total memory usage" in report(keys) and str(len(want)) in report(keys)
+    small = keyed(spark, {"AC": 3, "AG": 1, "T": 1})
+    assert report(small).split("\n") == [
+        "     depth    leaves    room 1    room 2    room 3    room 4     nodes",
+        "         0         0         0         0         0         1         1",
+        "         1         1         0         0         1         0         2",
+        "         2         2         0         0         0         0         2",
+        "       all         3         0         0         1         1         5",
+        f"nodes: {96 / 1024**3:.2} GiB", f"suffixes: {0 / 1024**3:.2} GiB", f"nodes and suffixes: {96 / 1024**3:.2} GiB", "",
+    ]
+    with pytest.raises(ValueError, match="G was repeated"):
+        letters(keys, "AGCG")
+    with pytest.raises(ValueError, match="ASCII"):
+        shape(keys, "Aé")
     empty = spark.createDataFrame([], "seq string, n long")
     assert memory(empty).first()["total_bytes"] == 0 and nodes(empty).count() == 0
 

@@ -1,7 +1,9 @@
 """FASTQ files as a Spark data source, and as a sink.
 
-A set of files with as many records (the mates of a read) is read in step by one task, as compressed FASTQ cannot be split and
-records are numbered by their place; several sets are read by as many tasks.
+Plain files are cut into ranges of bytes.  Tasks first count the line ends of their ranges; what comes before each range then says on which line it
+begins, and so which records begin in it and which places they have.  Mates in several plain files are read each by itself and joined by place.  A
+compressed file can only be read from its beginning, so a set of mates of which any is compressed is read in step by one task; several sets are
+read by as many tasks.
 """
 
 from __future__ import annotations
@@ -11,13 +13,15 @@ import gzip
 import io
 import json
 import lzma
+import uuid
 from collections.abc import Iterator, Sequence
-from itertools import chain, islice
+from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -25,7 +29,12 @@ from ..functions.records import mates_checked
 from ..runtime import checkpoint, scratch, ship
 
 RECORD = "struct<name:string,sequence:string,qualities:string>"
+FIELDS = ["name", "sequence", "qualities"]
 BATCH = 4096
+#: Bytes that are read and parsed at once, and of a range of a plain file.
+BUFFER = 4 << 20
+RANGE = 64 << 20
+COMPRESSED = (".gz", ".bz2", ".xz", ".zst")
 
 
 def _located(path: str) -> tuple[pafs.FileSystem, str]:
@@ -62,31 +71,96 @@ def packed(data: bytes, path: str) -> bytes:
     return data
 
 
-def records(path: str) -> Iterator[tuple[str, str, str | None]]:
-    """(name, sequence, qualities) of a FASTQ or FASTA file; a FASTA record's qualities are None."""
-    with io.TextIOWrapper(io.BufferedReader(_opened(path), 1 << 20), "ascii", newline=None) as lines:
-        first = lines.readline()
-        if not first:
-            return
-        if first[0] == ">":
-            name, parts = first[1:].rstrip("\n"), []
-            for line in lines:
-                if line[0] == ">":
-                    yield name, "".join(parts), None
-                    name, parts = line[1:].rstrip("\n"), []
-                else:
-                    parts.append(line.strip())
-            yield name, "".join(parts), None
+def _texts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
+    """The strings that stand in data from begin to end."""
+    size = end - begin
+    stop = np.cumsum(size)
+    taken = data[np.repeat(begin - stop + size, size) + np.arange(stop[-1] if len(stop) else 0)]
+    offsets = np.concatenate([[0], stop]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(taken))
+
+
+def parsed(data: np.ndarray, ends: np.ndarray, path: str) -> pa.RecordBatch:
+    """Records of a buffer of whole ones; ends: places of its line ends, four for each record."""
+    begin = np.concatenate([[0], ends[:-1] + 1]).reshape(-1, 4)
+    end = ends.reshape(-1, 4)
+    # A return in front of a line end belongs to it.
+    end = end - ((end > begin) & (data[end - 1] == 13))
+    size = end - begin
+    first = lambda column: np.where(size[:, column] > 0, data[np.minimum(begin[:, column], len(data) - 1)], 0)
+    bad = np.flatnonzero((first(0) != 64) | (first(2) != 43) | (size[:, 1] != size[:, 3]))
+    if len(bad):
+        at = int(bad[0])
+        name = bytes(data[begin[at, 0] : end[at, 0]])
+        why = "sequence and qualities differ in length" if first(0)[at] == 64 and first(2)[at] == 43 else "no FASTQ record"
+        raise ValueError(f"{path}: {why}: {name!r}")
+    if len(data) and data.max() > 127:
+        raise ValueError(f"{path}: must be ASCII encoded")
+    return pa.RecordBatch.from_arrays([_texts(data, begin[:, 0] + 1, end[:, 0]), _texts(data, begin[:, 1], end[:, 1]), _texts(data, begin[:, 3], end[:, 3])], FIELDS)
+
+
+def _fasta(stream, held: bytes) -> Iterator[pa.RecordBatch]:
+    """Records without qualities; a sequence may take several lines."""
+    rows, name, parts = [], None, []
+    lines = io.TextIOWrapper(io.BufferedReader(_Rest(held, stream), BUFFER), "ascii", newline=None)
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1, 2)], FIELDS)
+    for line in lines:
+        if line[0] == ">":
+            if name is not None:
+                rows.append((name, "".join(parts), None))
+            name, parts = line[1:].rstrip("\n"), []
+            if len(rows) >= BATCH:
+                yield batch()
+                rows = []
+        else:
+            parts.append(line.strip())
+    rows.append((name, "".join(parts), None))
+    yield batch()
+
+
+class _Rest(io.RawIOBase):
+    """Bytes held, then those of a stream."""
+
+    def __init__(self, held: bytes, stream):
+        self.held, self.stream = held, stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        blob = self.held[: len(into)] if self.held else self.stream.read(len(into))
+        self.held = self.held[len(blob) :] if self.held else b""
+        into[: len(blob)] = blob
+        return len(blob)
+
+
+def batches(path: str) -> Iterator[pa.RecordBatch]:
+    """(name, sequence, qualities) of a FASTQ or FASTA file from its beginning; a FASTA record's qualities are null."""
+    with _opened(path) as stream:
+        held = stream.read(BUFFER)
+        if held[:1] == b">":
+            yield from _fasta(stream, held)
             return
-        while first:
-            sequence, plus, qualities = lines.readline().rstrip("\n"), lines.readline(), lines.readline()
-            if first[0] != "@" or plus[:1] != "+" or not plus:
-                raise ValueError(f"{path}: no FASTQ record: {first!r}")
-            qualities = qualities.rstrip("\n")
-            if len(sequence) != len(qualities):
-                raise ValueError(f"{path}: sequence and qualities differ in length: {first!r}")
-            yield first[1:].rstrip("\n"), sequence, qualities
-            first = lines.readline()
+        while held:
+            more = stream.read(BUFFER)
+            if not more and held[-1:] != b"\n":
+                held += b"\n"
+            data = np.frombuffer(held, np.uint8)
+            ends = np.flatnonzero(data == 10)
+            whole = len(ends) // 4 * 4
+            if not more and whole < len(ends):
+                raise ValueError(f"{path}: no FASTQ record: {held[ends[whole - 1] + 1 if whole else 0 :][:80]!r}")
+            if whole:
+                stop = int(ends[whole - 1]) + 1
+                yield parsed(data[:stop], ends[:whole], path)
+                held = held[stop:]
+            held += more
+
+
+def records(path: str) -> Iterator[tuple[str, str, str | None]]:
+    """(name, sequence, qualities) one by one."""
+    for batch in batches(path):
+        yield from zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
 
 
 class _Files(InputPartition):
@@ -102,20 +176,27 @@ class _Reader(DataSourceReader):
         return [_Files(i, paths) for i, paths in enumerate(self.sets)]
 
     def read(self, partition: _Files):
-        place = 0
-        # zip ends with the shortest file.
-        rows = zip(*map(records, partition.paths), strict=False)
-        while held := list(islice(rows, BATCH)):
-            yield self._batch(partition.number, place, held)
-            place += len(held)
-
-    @staticmethod
-    def _batch(number: int, place: int, held: list) -> pa.RecordBatch:
-        n, width = len(held), len(held[0])
-        columns = zip(*chain.from_iterable(held), strict=True)
-        mates = pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in columns], ["name", "sequence", "qualities"])
-        offsets = pa.array(range(0, (n + 1) * width, width), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), pa.array(range(place, place + n), pa.int64()), pa.ListArray.from_arrays(offsets, mates)], ["file_set", "rec_idx", "mates"])
+        place, streams = 0, [batches(p) for p in partition.paths]
+        held: list = [None] * len(streams)
+        while True:
+            for i, stream in enumerate(streams):
+                while held[i] is None or not held[i].num_rows:
+                    held[i] = next(stream, None)
+                    if held[i] is None:
+                        return  # with the shortest file
+            n = min(BATCH, *(h.num_rows for h in held))
+            yield mated(partition.number, np.arange(place, place + n), [h.slice(0, n) for h in held])
+            held = [h.slice(n) for h in held]
+            place += n
+
+
+def mated(number: int, places: np.ndarray, mates: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """(file_set, rec_idx, mates) of batches of as many records."""
+    n, width = len(places), len(mates)
+    turn = pa.array(np.arange(n * width).reshape(width, n).T.ravel())
+    columns = [pa.concat_arrays([m.column(i) for m in mates]).take(turn) for i in range(3)]
+    offsets = pa.array(np.arange(0, (n + 1) * width, width), pa.int32())
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int32()), pa.array(places, pa.int64()), pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, FIELDS))], ["file_set", "rec_idx", "mates"])
 
 
 class FastqSource(DataSource):
@@ -133,66 +214,192 @@ class FastqSource(DataSource):
         return _Reader(paths if paths and isinstance(paths[0], list) else [paths])
 
 
-def read_fastq(spark: SparkSession, paths: Sequence[str] | Sequence[Sequence[str]], check_mates: bool = True) -> DataFrame:
+def _count_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """ranges (file_set, mate, path, start, stop) with the number of line ends in each."""
+    for batch in rows:
+        lines = []
+        for path, start, stop in zip(*(batch.column(c).to_pylist() for c in ("path", "start", "stop")), strict=True):
+            fs, place = _located(path)
+            with fs.open_input_file(place) as stream:
+                lines.append(sum(int((np.frombuffer(stream.read_at(min(BUFFER, stop - at), at), np.uint8) == 10).sum()) for at in range(start, stop, BUFFER)))
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lines, pa.int64())], [*batch.schema.names, "lines"])
+
+
+def range_records(stream, size: int, start: int, stop: int, before: int, path: str) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """(place of the first, records) of those that begin in bytes start to stop of a plain file; before: line ends in front of start."""
+    # The first line that begins here; another range holds the beginning of what comes before it.
+    inside = int(start > 0 and stream.read_at(1, start - 1) != b"\n")
+    place = -(-(before + inside) // 4)
+    skip, at = 4 * place - before, start  # line ends to pass until a record begins
+    while skip:
+        blob = stream.read_at(min(BUFFER, size - at), at)
+        if not blob:
+            return
+        ends = np.flatnonzero(np.frombuffer(blob, np.uint8) == 10)
+        got = min(skip, len(ends))
+        skip -= got
+        at += len(blob) if skip else int(ends[got - 1]) + 1
+    read, held = at, b""
+    while at < stop:
+        blob = stream.read_at(min(BUFFER, size - read), read)
+        read += len(blob)
+        held += blob if blob or held[-1:] == b"\n" else b"\n"
+        data = np.frombuffer(held, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        whole = len(ends) // 4 * 4
+        begins = np.concatenate([[0], ends[3:whole:4] + 1]) if whole else np.zeros(1, np.int64)
+        whole = min(whole, 4 * int((at + begins < stop).sum()))
+        if not whole:
+            if not blob:
+                raise ValueError(f"{path}: no FASTQ record: {held[:80]!r}")
+            continue
+        end = int(ends[whole - 1]) + 1
+        yield place, parsed(data[:end], ends[:whole], path)
+        place, at, held = place + whole // 4, at + end, held[end:]
+
+
+def _read_ranges(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for number, mate, path, start, stop, before in zip(*(batch.column(c).to_pylist() for c in ("file_set", "mate", "path", "start", "stop", "before")), strict=True):
+            fs, where = _located(path)
+            with fs.open_input_file(where) as stream:
+                for place, found in range_records(stream, stream.size(), start, stop, before, path):
+                    for cut in range(0, found.num_rows, BATCH):
+                        part = found.slice(cut, BATCH)
+                        one = mated(number, np.arange(place + cut, place + cut + part.num_rows), [part])
+                        yield pa.RecordBatch.from_arrays([one.column(0), pa.array([mate] * part.num_rows, pa.int32()), *one.columns[1:]], ["file_set", "mate", "rec_idx", "mates"])
+
+
+def _plain(path: str) -> int | None:
+    """The size of a plain FASTQ file, which can be cut; None for any other."""
+    if path.endswith(COMPRESSED):
+        return None
+    fs, place = _located(path)
+    with fs.open_input_file(place) as stream:
+        return None if stream.read_at(1, 0) == b">" else stream.size()
+
+
+def _cut(spark: SparkSession, files: list[tuple[int, int, str, int]], range_bytes: int) -> DataFrame:
+    """(file_set, rec_idx, mates) of plain files (file_set, mate, path, size)."""
+    kind = "file_set int, mate int, path string, start long, stop long"
+    known = spark.createDataFrame(files, "file_set int, mate int, path string, size long").filter("size > 0")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start")
+    ranges = known.select("file_set", "mate", "path", "size", starts).select("file_set", "mate", "path", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("stop"))
+    count = max(1, sum(-(-size // range_bytes) for *_, size in files))
+    counted = checkpoint(ranges.repartition(count).mapInArrow(_count_lines, kind + ", lines long"))
+    before = F.sum("lines").over(Window.partitionBy("file_set", "mate").orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    placed = counted.withColumn("before", F.coalesce(before, F.lit(0))).drop("lines").repartition(count)
+    read = placed.mapInArrow(_read_ranges, f"file_set int, mate int, rec_idx bigint, mates array<{RECORD}>")
+    width = 1 + max((mate for _, mate, *_ in files), default=0)
+    if width == 1:
+        return read.drop("mate")
+    # Places end with the shortest file.
+    sides = [read.filter(F.col("mate") == i).select("file_set", "rec_idx", F.col("mates").alias(f"m{i}")) for i in range(width)]
+    joined = reduce(lambda x, y: x.join(y, ["file_set", "rec_idx"]), sides)
+    return joined.select("file_set", "rec_idx", F.concat(*(f"m{i}" for i in range(width))).alias("mates"))
+
+
+def read_fastq(spark: SparkSession, paths: Sequence[str] | Sequence[Sequence[str]], check_mates: bool = True, range_bytes: int = RANGE) -> DataFrame:
     """(file_set, rec_idx, mates) of one set of files, or of several.  Mates whose names differ raise, if checked."""
     ship(spark)
     spark.dataSource.register(FastqSource)
-    sets = [list(p) if not isinstance(p, str) else p for p in paths]
-    rows = spark.read.format("fastq").option("paths", json.dumps(sets)).load()
-    width = len(sets[0]) if sets and isinstance(sets[0], list) else len(sets)
+    sets = [list(p) for p in paths] if paths and not isinstance(paths[0], str) else [list(paths)]
+    sizes = [[_plain(p) for p in mates] for mates in sets]
+    width = len(sets[0])
+    cut = [(i, k, p, size) for i, (mates, known) in enumerate(zip(sets, sizes, strict=True)) if None not in known for k, (p, size) in enumerate(zip(mates, known, strict=True))]
+    whole = [i for i, known in enumerate(sizes) if None in known]
+    rows = _cut(spark, cut, range_bytes) if cut or not whole else None
+    if whole:
+        step = spark.read.format("fastq").option("paths", json.dumps([sets[i] for i in whole])).load()
+        step = step.withColumn("file_set", F.element_at(F.array(*map(F.lit, whole)), F.col("file_set") + 1))
+        rows = step if rows is None else rows.unionByName(step)
     return rows.withColumn("mates", mates_checked(F.col("mates"))) if check_mates and width > 1 else rows
 
 
-def write_fastq(rows: DataFrame, paths: Sequence[str]) -> None:
-    """Writes mates (file_set, rec_idx, mates), in that order, one file for each mate.
+def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> None:
+    """Writes mates (file_set, rec_idx, mates), in that order, one file for each mate; or, with `parts`, a folder of files in order for each.
 
-    Tasks pack their ranges of rows as streams of their own in the shared folder; the driver appends those in order, by
-    bounded reads, to a file beside the target and then puts it in the target's place.  A record without qualities raises.
+    Tasks pack their ranges of rows as streams of their own.  With `parts` those go into the folders, and no byte is written
+    twice.  Else they lie in the shared folder, and one task for each mate appends them in order to a file beside the target and then puts it in the
+    target's place; only where targets are on the driver's machine and tasks are not, the driver does that.  A record without qualities raises.
     """
     spark = rows.sparkSession
     ship(spark)
-    folder, names = scratch(spark, "fastq"), list(paths)
+    names = list(paths)
+    suffixes = [next((s for s in COMPRESSED if n.endswith(s)), "") for n in names]
+    attempt = uuid.uuid4().hex
+    folders = [f"{n.rstrip('/')}/_{attempt}" for n in names] if parts else [scratch(spark, "fastq")] * len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
-
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        fs, top = _located(folder)
-        fs.create_dir(top, recursive=True)
-        parts = [f"{top}/{part:06d}-{i}-{uuid.uuid4().hex}" for i in range(len(names))]
-        streams, any_row = [fs.open_output_stream(p, compression=None) for p in parts], False
+        made, streams, any_row = [], [], False
+        for i, (folder, suffix) in enumerate(zip(folders, suffixes, strict=True)):
+            fs, top = _located(folder)
+            fs.create_dir(top, recursive=True)
+            name = f"{part:06d}-{i}-{uuid.uuid4().hex}.fastq{suffix}"
+            made.append(f"{folder}/{name}")
+            streams.append(fs.open_output_stream(f"{top}/{name}", compression=None))
         for batch in batches:
             any_row = any_row or batch.num_rows > 0
             for at in range(0, batch.num_rows, BATCH):
                 mates = batch.column("mates").slice(at, BATCH)
                 if pc.any(pc.not_equal(mates.value_lengths(), len(names))).as_py():
                     raise ValueError(f"a row does not have {len(names)} mates")
-                parts_of = [mates.flatten().field(f).to_pylist() for f in ("name", "sequence", "qualities")]
-                if None in parts_of[2]:
-                    raise ValueError(f"{parts_of[0][parts_of[2].index(None)]!r} has no qualities and cannot be written as FASTQ")
-                lines = [f"@{n}\n{s}\n+\n{q}\n" for n, s, q in zip(*parts_of, strict=True)]
+                flat = mates.flatten()
+                columns = [flat.field(f) for f in FIELDS]
+                if columns[2].null_count:
+                    raise ValueError(f"{columns[0].filter(columns[2].is_null())[0].as_py()!r} has no qualities and cannot be written as FASTQ")
+                lines = pc.binary_join_element_wise(pc.binary_join_element_wise("@", columns[0], ""), columns[1], "+", columns[2], "", "\n").to_pylist()
                 for i, (stream, name) in enumerate(zip(streams, names, strict=True)):
                     stream.write(packed("".join(lines[i :: len(names)]).encode("ascii"), name))
         for stream in streams:
             stream.close()
         if any_row:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(names), pa.int32()), "mate": pa.array(range(len(names)), pa.int32()), "file": pa.array(parts)})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(names), pa.int32()), "mate": pa.array(range(len(names)), pa.int32()), "file": pa.array(made)})
 
     ordered = rows.repartitionByRange("file_set", "rec_idx").sortWithinPartitions("file_set", "rec_idx").select("mates")
-    done = checkpoint(ordered.mapInArrow(run, "part int, mate int, file string")).collect()  # a row for each part and mate
-    source, _ = _located(folder)
-    for i, name in enumerate(names):
-        fs, place = _located(name)
+    # A row for each part and mate; they meet in one task, so each part is there once, under its last name.
+    done = checkpoint(ordered.mapInArrow(run, "part int, mate int, file string").repartition(1))
+
+    def whole(mate: int, found: list[str]) -> None:
+        fs, place = _located(names[mate])
         with fs.open_output_stream(place + ".part", compression=None) as out:
-            wrote = False
-            for r in sorted(done, key=lambda r: r["part"]):
-                if r["mate"] == i:
-                    with source.open_input_stream(r["file"], compression=None) as stream:
-                        while blob := stream.read(1 << 22):
-                            out.write(blob)
-                            wrote = True
-            if not wrote:
-                out.write(packed(b"", name))
+            if not found:
+                out.write(packed(b"", names[mate]))
+            for name in found:
+                source, where = _located(name)
+                with source.open_input_stream(where, compression=None) as stream:
+                    while blob := stream.read(BUFFER):
+                        out.write(blob)
         fs.move(place + ".part", place)
+
+    def shown(mate: int, found: list[str]) -> None:
+        """Files that count get their names; what lost tasks have left goes."""
+        fs, top = _located(names[mate])
+        for k, name in enumerate(found):
+            fs.move(_located(name)[1], f"{top.rstrip('/')}/part-{k:06d}.fastq{suffixes[mate]}")
+        held = _located(folders[mate])[1]
+        if fs.get_file_info(held).type != pafs.FileType.NotFound:
+            fs.delete_dir(held)
+
+    files: list[list[str]] = [[] for _ in names]
+    for r in done.orderBy("part", "mate").collect():
+        files[r["mate"]].append(r["file"])
+    if parts:
+        for mate, found in enumerate(files):
+            shown(mate, found)
+    elif spark.sparkContext._jsc.sc().isLocal() or all("://" in n and not n.startswith("file:") for n in names):
+
+        def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for mate, found in zip(batch.column("mate").to_pylist(), batch.column("files").to_pylist(), strict=True):
+                    whole(mate, found)
+                yield batch.select(["mate"])
+
+        rows_of = spark.createDataFrame(list(enumerate(files)), "mate int, files array<string>").repartition(len(names))
+        rows_of.mapInArrow(join, "mate int").write.format("noop").mode("overwrite").save()
+    else:
+        for mate, found in enumerate(files):
+            whole(mate, found)

@@ -1,8 +1,10 @@
 import gzip
 import json
 
+import pyarrow as pa
 import pytest
 
+import readcollapse.sources.fastq as source
 from readcollapse.options import DedupOptions
 from readcollapse.plans.pipeline import run
 from readcollapse.sources.fastq import read_fastq, records, write_fastq
@@ -25,6 +27,50 @@ def test_round_trip(spark, tmp_path, suffix):
     assert list(records(target)) == ROWS
 
 
+@pytest.mark.parametrize("cut", [1, 7, 100, 1 << 20])
+def test_plain_files_are_cut_anywhere(spark, tmp_path, monkeypatch, cut):
+    rows = [(f"r{i} @x", "ACGT"[: i % 5], "@+I#"[: i % 5]) for i in range(40 if cut < 100 else 3000)]
+    path = fastq(tmp_path / "a.fq", rows)
+    for data in (open(path).read(), open(path).read()[:-1], open(path).read().replace("\n", "\r\n")):
+        (tmp_path / "a.fq").write_bytes(data.encode())
+        if cut >= 100:
+            got = read_fastq(spark, [path], range_bytes=50 * cut).orderBy("rec_idx").collect()
+            assert [(r["rec_idx"], *r["mates"][0]) for r in got] == [(i, *r) for i, r in enumerate(rows)]
+    # Each range by itself, in buffers of any size.
+    raw = data.encode()
+    for size in (1, 13, 4 << 20) if cut < 100 else (4 << 20,):
+        monkeypatch.setattr(source, "BUFFER", size)
+        seen = []
+        for start in range(0, len(raw), cut):
+            for place, batch in source.range_records(pa.BufferReader(raw), len(raw), start, min(start + cut, len(raw)), raw[:start].count(b"\n"), "x"):
+                seen += [(place + k, *r) for k, r in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True))]
+        assert seen == [(i, *r) for i, r in enumerate(rows)]
+
+
+def test_sets_of_plain_and_compressed_files(spark, tmp_path):
+    a, b = fastq(tmp_path / "a.fq", ROWS[:500]), fastq(tmp_path / "b.fq.gz", ROWS[100:400])
+    both = read_fastq(spark, [[a, a], [b, a], [b, b]], check_mates=False, range_bytes=3000)
+    got = {(r["file_set"], r["rec_idx"]): [m["name"] for m in r["mates"]] for r in both.collect()}
+    want = {(0, i): [ROWS[i][0]] * 2 for i in range(500)} | {(1, i): [ROWS[100 + i][0], ROWS[i][0]] for i in range(300)} | {(2, i): [ROWS[100 + i][0]] * 2 for i in range(300)}
+    assert got == want
+
+
+def test_folders_of_parts(spark, tmp_path):
+    source_path = fastq(tmp_path / "in.fq", ROWS)
+    small = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(small, "false")
+    for name in ("out.fastq.gz", "plain"):
+        target = tmp_path / name
+        write_fastq(read_fastq(spark, [source_path], range_bytes=20_000).repartition(3), [str(target)], parts=True)
+        files = sorted(p.name for p in target.iterdir())
+        assert len(files) > 1 and all(f.startswith("part-") for f in files)
+        assert [r for f in files for r in records(str(target / f))] == ROWS
+    spark.conf.unset(small)
+    empty = tmp_path / "none.fq"
+    write_fastq(read_fastq(spark, [source_path]).filter("false"), [str(empty)])
+    assert list(records(str(empty))) == []
+
+
 def test_mates_and_lengths(spark, tmp_path):
     a = fastq(tmp_path / "a.fq", [("x/1", "AC", "II"), ("y/1", "GG", "II"), ("z/1", "T", "I")])
     b = fastq(tmp_path / "b.fq", [("x/2", "TT", "II"), ("y/2", "CC", "II")])
@@ -46,13 +92,16 @@ def test_fasta_is_read_but_not_written(spark, tmp_path):
         write_fastq(rows, [str(tmp_path / "o.fq")])
 
 
-def test_broken_files(tmp_path):
-    for text in ("ACGT\n", "@x\nAC\n-\nII\n", "@x\nAC\n+\nI\n"):
+def test_broken_files(spark, tmp_path):
+    for text in ("ACGT\n", "@x\nAC\n-\nII\n", "@x\nAC\n+\nI\n", "@x\nAC\n+\nII\n@y\nA\n", "@x\nAC\n+\nII\n\n", "@é\nA\n+\nI\n"):
         path = tmp_path / "x.fq"
         path.write_text(text)
         with pytest.raises(ValueError):
             list(records(str(path)))
+        with pytest.raises(Exception, match="no FASTQ record|differ in length|ASCII"):
+            read_fastq(spark, [str(path)]).collect()
     path.write_text("")
+    assert read_fastq(spark, [str(path)]).count() == 0
     assert list(records(str(path))) == []
 
 
@@ -66,7 +115,7 @@ def test_whole_run(spark, tmp_path, caplog):
     job = run(spark, DedupOptions(slices=(slice(None), slice(-5, None)), max_distance=2, inputs=tuple(paths), outputs=tuple(outs)))
     # The first record of a kept key comes out although its own quality is low; a key without good records does not.
     assert [r[0] for r in records(outs[0])] == ["a/1", "e/1"] and [r[0] for r in records(outs[1])] == ["a/2", "e/2"]
-    assert job.keys.count() == 3
+    assert job.keys.count() == 3 and job.observed.get == {"total": 6, "discarded": 2}
     run(spark, DedupOptions(inputs=(paths[0],), outputs=(outs[0],), max_error_rate=1.0, method="highest_count"))
     assert [r[0] for r in records(outs[0])] == ["a/1", "e/1", "f/1"]
     assert json.dumps(outs)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import resource
 import time
 from collections.abc import Sequence
 
@@ -51,4 +52,5 @@ def main(arguments: Sequence[str] | None = None) -> None:
     log.setLevel(level)
     began = time.monotonic()
     run(SparkSession.builder.appName("readcollapse").getOrCreate(), made)
-    log.info("finished in %.1f s", time.monotonic() - began)
+    # The driver's own; executors report theirs to Spark.
+    log.info("finished in %.1f s, %.0f MiB of memory at most", time.monotonic() - began, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)

@@ -68,7 +68,39 @@ _RULES = {
 }
 _FOUND = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, {i} AS o, regexp_extract_all(t, '{p}') AS ms, string_split_regex(t, '{p}') AS gaps FROM d" for i, (k, p) in enumerate(_RULES.items()))
 
+
+
+def _seeded(seed: int, *columns: str) -> str:
+    """mixing._seeded() in SQL."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(f"coalesce({c}::VARCHAR, '')" for c in columns)}, '{seed}')), 1, 15))::BIGINT"
+
+
+def _mix_sql() -> str:
+    """mixing.mix() in SQL: here every quotient is ranked, up to as many as there are blocks."""
+    m = mixing
+    weights = f"[{', '.join(map(str, m.WEIGHTS))}]"
+    order = "ORDER BY cap / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    return f"""
+        WITH m AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(text, '')) AS tie FROM documents),
+        a AS (SELECT source, count(*) AS docs, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS sid FROM m GROUP BY source),
+        b AS (SELECT *, {weights}[((sid - 1) % {len(m.WEIGHTS)} + 1)::INT]::DOUBLE AS weight, source_size * {m.CAP}::DOUBLE AS cap, greatest(ceil(docs / {float(m.SHARD_DOCS)}::DOUBLE), 1)::BIGINT AS shards FROM a),
+        c AS (SELECT *, (sum(source_size) OVER () * {m.SHARE}::DOUBLE - coalesce(sum(cap) OVER ({order}), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER ({order}), 0)) AS level FROM b),
+        t AS (SELECT *, least(cap, coalesce(max(CASE WHEN level * weight <= cap THEN level END) OVER (), 'inf'::DOUBLE) * weight)::DOUBLE AS target FROM c),
+        n AS (SELECT round(sum(target) / {m.BLOCK_WORDS})::BIGINT AS all_blocks FROM t),
+        w AS (SELECT sid, row_number() OVER (ORDER BY target / (2 * x.a + 1) DESC, sid, x.a) AS place, all_blocks FROM t, n, unnest(range(all_blocks)) AS x(a) WHERE target > 0),
+        per AS (SELECT t.*, count(w.sid) AS blocks FROM t LEFT JOIN w ON w.sid = t.sid AND place <= all_blocks GROUP BY ALL),
+        keyed AS (SELECT m.*, sid, blocks, source_size, target, {_seeded(m.SEED + 1, 'doc_id', 'tie')} % shards AS shard, {_seeded(m.SEED, 'doc_id', 'tie')} AS h FROM m JOIN per ON m.source IS NOT DISTINCT FROM per.source),
+        s AS (SELECT sid, shard, blocks, sum(size)::BIGINT AS words FROM keyed GROUP BY ALL),
+        v AS (SELECT sid, shard, blocks, row_number() OVER (PARTITION BY sid ORDER BY words / (2 * x.a + 1) DESC, shard, x.a) AS place FROM s, unnest(range(blocks)) AS x(a) WHERE words > 0),
+        q AS (SELECT s.sid, s.shard, s.words, count(v.sid) AS quota FROM s LEFT JOIN v ON v.sid = s.sid AND v.shard = s.shard AND place <= v.blocks GROUP BY ALL),
+        r AS (SELECT sid, shard, words, least(quota * {m.BLOCK_WORDS}, words * {int(m.CAP)})::BIGINT AS take, {_seeded(m.SEED + 2, 'sid', 'shard')} % greatest(ceil(words / {float(m.BLOCK_WORDS)}::DOUBLE), 1)::BIGINT * {m.BLOCK_WORDS} AS start FROM q),
+        p AS (SELECT keyed.*, r.words, take // greatest(r.words, 1) AS passes, start, start + CASE WHEN r.words > 0 THEN take % r.words ELSE 0 END AS stop,
+              (sum(size) OVER (PARTITION BY sid, shard ORDER BY h, doc_id NULLS FIRST, tie ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT AS e FROM keyed JOIN r USING (sid, shard))
+        SELECT doc_id, size, source_size, target, (passes * size + greatest(least(e, stop) - greatest(e - size, start), 0) + greatest(least(e, stop - words) - greatest(e - size, 0), 0))::BIGINT AS taken FROM p"""
+
+
 ORACLES: dict[str, str] = {
+    "op2_source_mixing": _mix_sql(),
     "op5_secret_scan": f"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), f AS ({_FOUND}),
         x AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f),

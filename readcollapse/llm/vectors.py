@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from .common import map_arrow
 
-#: Rows of a block, and the most pivots (so at most PIVOTS**2 figures come to the driver).
+#: Rows of a block, and the most pivots: what comes to the driver is bounded by 16 * PIVOTS sampled vectors and PIVOTS**2 figures.
 BLOCK = 8192
-PIVOTS = 48
+PIVOTS = 256
 SEED = 36
 
 
@@ -32,10 +32,11 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
 
 
-def pivots(rows: DataFrame, count: int) -> list[tuple[int, np.ndarray]]:
-    """For each dimension a matrix of pivots: spread out (farthest first) over 16 * PIVOTS rows at most, those with the smallest seeded hash."""
-    want = max(1, min(PIVOTS, -(-count // BLOCK)))
-    near = rows.withColumn("_h", F.xxhash64("v", F.lit(SEED))).orderBy("_h", "vec_id").limit(16 * PIVOTS).collect()
+def pivots(rows: DataFrame, count: int, per: int = BLOCK) -> list[tuple[int, np.ndarray]]:
+    """For each dimension a matrix of pivots, one for `per` rows but PIVOTS at most: spread out (farthest first) over 16 times as many rows
+    (those with the smallest seeded hash)."""
+    want = max(1, min(PIVOTS, -(-count // per)))
+    near = rows.withColumn("_h", F.xxhash64("v", F.lit(SEED))).orderBy("_h", "vec_id").limit(16 * max(want, 48)).collect()
     out: dict[int, list] = {}
     for r in near:
         out.setdefault(len(r["v"]), []).append(r["v"])

@@ -68,6 +68,11 @@ def test_top_k(spark, monkeypatch, block):
     monkeypatch.setattr(vectors, "BLOCK", block)
     monkeypatch.setattr(exact_topk, "BLOCK", block)
     monkeypatch.setattr(exact_topk, "LEAF", 4)
+    monkeypatch.setattr(exact_topk, "FEW", 2)
+    if block == 16:
+        monkeypatch.setattr(exact_topk, "CELL", 16)
+        monkeypatch.setattr(exact_topk, "TREE", 16)
+        monkeypatch.setattr(exact_topk, "QUERIES", 5)
     rows = fixture(3) + odd(12)
     rows.append(rows[0])
     got = {}
@@ -85,11 +90,12 @@ def test_top_k(spark, monkeypatch, block):
     assert exact_topk.top_k(table(spark, rows), F.col("vec_id") == -1).count() == 0
 
 
-def test_top_k_of_lengths_outside_the_sample(spark):
+def test_top_k_of_lengths_outside_the_sample(spark, monkeypatch):
     rng = np.random.default_rng(5)
     rows = [(i, rng.normal(size=3).tolist()) for i in range(8000)] + [(9000 + i, [1.0 + i, 2.0 - i]) for i in range(4)] + [(9500, [1.0])]
     whole = spark.createDataFrame([(i, np.floor(256 * np.array(v)).tolist()) for i, v in rows], "vec_id long, v array<double>")
-    assert [d for d, _ in vectors.pivots(whole, len(rows))] == [3]
+    monkeypatch.setattr(vectors, "PIVOTS", 48)
+    assert [d for d, _ in vectors.pivots(whole, len(rows), 256)] == [3]
     got = exact_topk.top_k(table(spark, rows), F.col("vec_id").isin(0, 9000, 9002, 9500)).orderBy("query_id", "rank").collect()
     want = []
     for i in (0, 9000, 9002):
@@ -120,20 +126,49 @@ def test_an_id_of_different_vectors_is_one_candidate(spark):
     assert [(r["vec_id"], r["score"]) for r in got] == [(1, 20 << 16)] + [(i, i << 13) for i in (7, 6, 5, 4)]
 
 
-def test_cover_tree():
+def test_top_k_of_many_rare_lengths(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, rng.normal(size=4).tolist()) for i in range(12_000)] + [(20_000 + 2 * d + j, rng.normal(size=d).tolist()) for d in range(5, 35) for j in (0, 1)]
+    got = exact_topk.top_k(table(spark, rows), F.col("vec_id") >= 20_000).collect()
+    value = {i: np.floor(256 * np.array(v)) for i, v in rows[12_000:]}
+    assert sorted(tuple(r) for r in got) == sorted((i, 1, i ^ 1, int(v @ value[i ^ 1])) for i, v in value.items())
+
+
+@pytest.mark.parametrize(("dim", "groups", "noise", "share"), [(3, 20, 0.01, 0.1), (64, 200, 0.02, 0.5)])
+def test_fewer_products_than_all_where_vectors_have_clusters(dim, groups, noise, share):
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(groups, dim))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    x = np.floor(256 * (np.repeat(centers, 6000 // groups, axis=0) + noise * rng.normal(size=(6000 // groups * groups, dim))))
+    ids = rng.permutation(len(x))
+    asked, counted = ids % 50 == 0, []
+    best = exact_topk.search(x[asked], ids[asked], x, ids, 5, np.full(asked.sum(), -np.inf), counted)
+    scores = x[asked] @ x.T
+    scores[ids[asked][:, None] == ids[None]] = -np.inf
+    for k, i in enumerate(np.lexsort((np.broadcast_to(ids, scores.shape), -scores))[:, :5]):
+        assert best.id[k].tolist() == ids[i].tolist() and best.score[k].tolist() == scores[k, i].tolist()
+    assert counted[0] < share * scores.size
+
+
+@pytest.mark.parametrize(("few", "size"), [(2, 400), (8, 400), (8, 3000)])
+def test_cover_tree(monkeypatch, few, size):
+    monkeypatch.setattr(exact_topk, "FEW", few)
     rng = np.random.default_rng(4)
-    x = np.concatenate([rng.normal(size=(400, 3)) * 0.01 + c for c in rng.normal(size=(6, 3)) * 10])
-    todo, nodes = [exact_topk.cover_tree(x)], 0
+    x = np.concatenate([rng.normal(size=(size, 3)) * 0.01 + c for c in rng.normal(size=(6, 3)) * 10])[: 6 * size]
+    norm = np.linalg.norm(x, axis=1)
+    todo = exact_topk.forest(x)
+    assert sorted(np.concatenate([t.points for t in todo])) == list(range(len(x))) and all(len(t.points) <= exact_topk.TREE for t in todo)
+    nodes = 0
     while todo:
         node = todo.pop()
         nodes += 1
         gap = np.linalg.norm(x[node.points] - x[node.center], axis=1)
-        assert gap.max() <= node.radius + 1e-9
+        assert gap.max() <= node.radius + 1e-9 and node.longest == pytest.approx(norm[node.points].max())
         if node.children:
-            assert sorted(np.concatenate([c.points for c in node.children])) == sorted(node.points)
-            half = 2.0 ** (np.ceil(np.log2(node.radius)) - 1)
+            assert sorted(np.concatenate([node.own, *(c.points for c in node.children)])) == sorted(node.points)
+            scale = exact_topk.BASE ** (np.ceil(np.log(node.radius) / np.log(exact_topk.BASE)) - 1)
             centers = x[[c.center for c in node.children]]
             apart = np.linalg.norm(centers[:, None] - centers[None], axis=2)[~np.eye(len(centers), dtype=bool)]
-            assert all(c.radius <= half for c in node.children) and (not len(apart) or apart.min() > half)
+            assert all(c.radius <= scale + 1e-6 and len(c.points) >= few for c in node.children) and (not len(apart) or apart.min() > scale - 1e-6)
             todo += node.children
     assert nodes > 6

@@ -22,8 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..runtime import ship
-from .common import checkpoint, map_arrow
+from .common import checkpoint, map_arrow, small_batches
 from ..operators.components import components
 from .vectors import BLOCK, celled, matrix, nonzero, pivots, usable
 
@@ -46,9 +45,16 @@ def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; first divided by their largest component, so that squares neither overflow nor vanish."""
+    x = x.astype(np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 class Side:
     def __init__(self, x: np.ndarray, weight: np.ndarray):
-        self.x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        self.x = unit(x)
         self.q, self.s, self.e = quantise(self.x)
         self.weight = weight
 
@@ -99,7 +105,7 @@ def _compare(least: float):
         dim = group.column("dim")[0].as_py()
         rep = group.column("rep").to_numpy()
         n = int((side == 0).sum())
-        whole = Side(matrix(group.column("v").combine_chunks(), dim), group.column("copies").to_numpy())
+        whole = Side(matrix(group.column("raw").combine_chunks(), dim), group.column("copies").to_numpy())
         one = n == len(side)
         count, root = np.zeros(len(side), np.int64), np.arange(len(side))
         for i in range(0, n, TILE):
@@ -120,17 +126,17 @@ def _compare(least: float):
 
 
 def _scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vectors of length 1; first divided by their largest component, so that squares neither overflow nor vanish."""
+    """v: raw vectors scaled to length 1, as unit() does."""
     for batch in batches:
-        v = batch.column("v")
+        v = batch.column("raw")
         size = v.value_lengths().to_numpy(zero_copy_only=False)
         begin = np.concatenate([[0], np.cumsum(size)])[:-1]
-        flat = v.flatten().to_numpy(zero_copy_only=False)
+        flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
         if len(flat):
             flat = flat / np.repeat(np.maximum.reduceat(np.abs(flat), begin), size)
             flat = flat / np.repeat(np.sqrt(np.add.reduceat(flat * flat, begin)), size)
         offsets = pa.array(np.append(begin, len(flat)).astype(np.int32))
-        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rep", "copies", "v"])
+        yield pa.RecordBatch.from_arrays([batch.column("rep"), batch.column("copies"), v, pa.ListArray.from_arrays(offsets, pa.array(flat))], ["rep", "copies", "raw", "v"])
 
 
 def _ranges(centers: dict[int, np.ndarray]):
@@ -159,17 +165,19 @@ def _ranges(centers: dict[int, np.ndarray]):
 def link(rows: DataFrame, least: float = COSINE, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row."""
     spark = rows.sparkSession
-    ship(spark)
-    everyone = rows.select(F.col(key).alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
+    small_batches(spark)
+    # Vectors move as they are, in their own precision, and are scaled where they are used.
+    everyone = rows.select(F.col(key).alias("vec_id"), F.col(vector).alias("raw"), F.col(vector).cast("array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & usable(F.col("v")) & nonzero(F.col("v"))
-    stored = checkpoint(everyone.filter(good).select("vec_id", "v", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")))
-    classes = checkpoint(stored.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("v").alias("v")))
+    stored = checkpoint(everyone.filter(good).select("vec_id", "raw", F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2")))
+    classes = checkpoint(stored.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("raw").alias("raw")))
     members = stored.select("vec_id", "h1", "h2")
     count = classes.count()
     # Lengths do not matter to the cosine: cells are made of scaled vectors.
-    unit = checkpoint(map_arrow(classes.select("rep", "copies", "v"), _scaled, f"rep {classes.schema['rep'].dataType.simpleString()}, copies long, v array<double>"))
-    centers = pivots(unit.select(F.col("rep").alias("vec_id"), "v"), count)
-    kept = checkpoint(celled(unit.select("rep", "copies", "v"), centers))
+    kinds = {c: classes.schema[c].dataType.simpleString() for c in ("rep", "raw")}
+    scaled = checkpoint(map_arrow(classes.select("rep", "copies", "raw"), _scaled, f"rep {kinds['rep']}, copies long, raw {kinds['raw']}, v array<double>"))
+    centers = pivots(scaled.select(F.col("rep").alias("vec_id"), "v"), count)
+    kept = checkpoint(celled(scaled, centers))
     per = {(r["dim"], r["cell"]): r["n"] for r in kept.groupBy("dim", "cell").agg(F.count(F.lit(1)).alias("n")).collect()}
     held = dict(centers)
     low: dict = {}
@@ -177,17 +185,18 @@ def link(rows: DataFrame, least: float = COSINE, key: str = "vec_id", vector: st
         low.setdefault((r["dim"], r["cell"]), {})[r["pivot"]] = (r["low"], r["high"])
     reach = np.sqrt(2 - 2 * least) + 1e-6
     near = []
-    for a in per:
-        for b in per:
-            apart = any(low[a][p][0] - low[b][p][1] > reach or low[b][p][0] - low[a][p][1] > reach for p in low.get(a, {}) if p in low.get(b, {}))
-            if a[0] == b[0] and not apart:
-                near.append((*a, b[1], max(1, -(-per[a] // BLOCK)), max(1, -(-per[b] // BLOCK))))
+    for dim in {d for d, _ in per}:
+        names = [c for d, c in per if d == dim]
+        bounds = np.array([[low.get((dim, c), {}).get(p, (0.0, 2.0)) for p in range(len(held.get(dim, ())))] for c in names]).reshape(len(names), -1, 2)
+        for i, a in enumerate(names):
+            gap = np.maximum(bounds[i, :, 0] - bounds[:, :, 1], bounds[:, :, 0] - bounds[i, :, 1])
+            near += [(dim, a, names[j], -(-per[dim, a] // BLOCK), -(-per[dim, names[j]] // BLOCK)) for j in np.flatnonzero(gap.max(axis=1, initial=0) <= reach).tolist()]
     schema = "dim int, cell int, other int, own_blocks int, blocks int"
     cells = F.broadcast(spark.createDataFrame(near, schema))  # PIVOTS**2 rows a dimension at most
     dealt = kept.join(cells, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("own_blocks")).cast("int"))
     dealt = dealt.withColumn("their", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     mine, theirs = F.struct(F.col("cell").alias("c"), F.col("block").alias("b")), F.struct(F.col("other").alias("c"), F.col("their").alias("b"))
-    dealt = dealt.select("dim", F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"), (mine > theirs).cast("int").alias("side"), "rep", "copies", "v")
+    dealt = dealt.select("dim", F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"), (mine > theirs).cast("int").alias("side"), "rep", "copies", "raw")
     found = checkpoint(dealt.groupBy("dim", "x", "y").applyInArrow(_compare(least), "rep long, root long, links long"))
     labels = components(found.filter("rep <> root").select(F.col("rep").alias("a"), F.col("root").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

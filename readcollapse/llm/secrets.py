@@ -66,13 +66,15 @@ def _addressed(versions: DataFrame, path: str, text: str) -> DataFrame:
 
 def _unseen(rows: DataFrame, ledger: DataFrame | None, rule_version: int) -> DataFrame:
     """(blob, rule_version, spans) of the pairs that the ledger lacks, stored."""
+    # One text for each blob: copies meet in the map-side combine before anything is sent, however many there are.
+    once = rows.groupBy("blob").agg(F.first("text").alias("text"))
     if ledger is not None:
-        # Addresses are compared first, so a text is moved only if its blob is scanned.
+        # Addresses are compared first: if all are known, no text moves at all.
         known = ledger.filter(F.col("rule_version") == rule_version).select("blob").distinct()
         new = checkpoint(rows.select("blob").distinct().join(known, "blob", "left_anti"))
-        rows = rows.join(new, "blob", "left_semi")
-    # One text for each blob: copies meet in the map-side combine before anything is sent.
-    once = rows.groupBy("blob").agg(F.first("text").alias("text"))
+        if new.isEmpty():
+            return ledger.select(*(F.col(c) for c in ("blob", "rule_version", "spans"))).limit(0)
+        once = once.join(new, "blob", "left_semi")
     return checkpoint(map_arrow(once, _scan, f"blob binary, spans {SPANS}").select("blob", F.lit(rule_version).alias("rule_version"), "spans"))
 
 

@@ -155,11 +155,17 @@ def remainder(doc_id: str, modulus: int) -> F.Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))) % modulus
 
 
-def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, keep: tuple[str, ...] = ()) -> tuple[list, dict]:
+#: Bytes of the texts that a sample may have for each label; its first text counts whatever its size.
+SAMPLE_BYTES = 32 << 20
+
+
+def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, keep: tuple[str, ...] = (), max_bytes: int = SAMPLE_BYTES) -> tuple[list, dict]:
     """At most per_label rows of each label, those with the smallest seeded hash of doc_id; and the counts of all labels.
 
     Labels are counted first, so that a hash threshold keeps about three times what is needed: only that many ids come
-    to the driver, and only the chosen rows' texts.  rows: doc_id, text and the label, without nulls, and the columns `keep`.
+    to the driver, and only the chosen rows' texts.  Of an id's rows of one label the one with the smallest text counts; texts that
+    would go beyond max_bytes for their label are passed over.  rows: doc_id, text, its size in bytes and the label, without nulls, and the
+    columns `keep`; sizes are made before any join, so that the choice moves no text.
     """
     counts = {r[0]: r[1] for r in rows.groupBy(label).agg(F.count(F.lit(1))).collect()}
     if not counts:
@@ -167,14 +173,13 @@ def labelled_sample(rows: DataFrame, label: str, per_label: int, seed: int, keep
     place = F.xxhash64("doc_id", F.lit(seed))
     top = (1 << 63) - 1
     limits = F.create_map(*(x for k, n in counts.items() for x in (F.lit(k), F.lit(min(top, int(top * (2 * min(1.0, (3 * per_label + 30) / n) - 1)))).cast("long"))))
-    near = rows.filter(place <= limits[F.col(label)]).select("doc_id", label, place.alias("place")).collect()
-    near.sort(key=lambda r: (r["place"], r["doc_id"]))
-    seen: dict = {}
-    ids = []
-    for r in near:
-        seen[r[label]] = seen.get(r[label], 0) + 1
-        if seen[r[label]] <= per_label:
-            ids.append(r["doc_id"])
-    chosen = rows.filter(F.col("doc_id").isin(ids)).select("doc_id", label, "text", *keep).collect()
-    chosen.sort(key=lambda r: (r["doc_id"], r["text"]))
-    return chosen[: per_label * len(counts)], counts
+    near = rows.filter(place <= limits[F.col(label)])
+    sizes = near.groupBy("doc_id", label).agg(F.max("size").alias("size")).select("doc_id", label, "size", place.alias("place"))
+    taken, room, ids = dict.fromkeys(counts, 0), dict.fromkeys(counts, max_bytes), set()
+    for r in sorted(sizes.collect(), key=lambda r: (r["place"], r["doc_id"])):
+        k = r[label]
+        if taken[k] < per_label and (r["size"] <= room[k] or not taken[k]):
+            taken[k], room[k] = taken[k] + 1, room[k] - r["size"]
+            ids.add((r["doc_id"], k))
+    chosen = near.filter(F.col("doc_id").isin(sorted({i for i, _ in ids}))).groupBy("doc_id", label).agg(F.min(F.struct("text", *keep)).alias("r")).select("doc_id", label, "r.*").collect()
+    return sorted((r for r in chosen if (r["doc_id"], r[label]) in ids), key=lambda r: (r["doc_id"], r["text"])), counts

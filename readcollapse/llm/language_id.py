@@ -94,7 +94,7 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS_PER_LANG
 
 def train(docs: DataFrame, lang: str = "lang", per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
     """Fits on a bounded sample of rows with text and language."""
-    rows = docs.select("doc_id", "text", F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    rows = docs.select("doc_id", "text", F.octet_length("text").alias("size"), F.col(lang).alias("lang")).filter(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
     sample, counts = labelled_sample(rows, "lang", per_language, SEED)
     return fit([r["text"] for r in sample], [r["lang"] for r in sample]) if counts else None
 

@@ -132,7 +132,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     marks = labels.select("doc_id", F.col(label).cast("int").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull())
     # Only ids are joined for the choice of the sample; texts come for what is chosen.
     names = tuple(f"_meta{i}" for i in range(len(meta)))
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *_named(meta)).join(marks, "doc_id")
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text"), F.octet_length(text).alias("size"), *_named(meta)).join(marks, "doc_id")
     sample, counts = labelled_sample(rows, "label", per_class, SEED, names)
     if not counts:
         return None

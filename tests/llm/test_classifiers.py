@@ -7,7 +7,7 @@ import pytest
 from helpers import clashing, documents
 from pyspark.sql import functions as F
 
-from readcollapse.llm import language_id, quality
+from readcollapse.llm import common, language_id, quality
 
 STEMS = {"en": "th he in er an re".split(), "de": "ei ch sch ün ge ß".split(), "ru": "пр ст но ть ов ра".split()}
 
@@ -54,6 +54,17 @@ def test_accept_without_labels(spark):
     assert language_id.accept(documents(spark, [(i, "some text", "en", "s") for i in held] + odd)).count() == len(held) + 2
 
 
+def test_the_sample_is_bounded(spark):
+    rows = [(i, f"text {i}", "ab"[i % 2], 1) for i in range(300)] + [(7, f"other {k}", "b", 2) for k in range(500)] + [(1000 + i, "x" * 4000, "c", 3) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, k int").withColumn("size", F.octet_length("text"))
+    got, counts = common.labelled_sample(docs, "lang", 40, 1, ("k",), 10_000)
+    assert counts == {"a": 150, "b": 650, "c": 20}
+    taken = {x: sum(r["lang"] == x for r in got) for x in "abc"}  # ids that repeat leave fewer than could be taken
+    assert taken["a"] == 40 and 20 < taken["b"] <= 40 and taken["c"] == 2
+    assert len({(r["doc_id"], r["lang"]) for r in got}) == len(got) and all((r["doc_id"], r["text"], r["lang"], r["k"]) in set(rows) for r in got)
+    assert len(common.labelled_sample(docs, "lang", 40, 1, (), 1)[0]) == 3
+
+
 def test_folded_weights_equal_the_kernel_machine():
     """Scoring by one product gives what kernel values against the landmarks give."""
     rng = random.Random(2)

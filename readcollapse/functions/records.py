@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import checkpoint
+from ..runtime import checkpoint, stored
 
 
 def mate_id(name: Column) -> Column:
@@ -14,8 +16,8 @@ def mate_id(name: Column) -> Column:
 
 
 def are_mates(names: Column) -> Column:
-    """Whether all names of an array belong to one read."""
-    return F.size(F.array_distinct(F.transform(names, mate_id))) <= 1
+    """Whether all names of an array belong to one read; equal names are not taken apart."""
+    return (F.size(F.array_distinct(names)) <= 1) | (F.size(F.array_distinct(F.transform(names, mate_id))) <= 1)
 
 
 def mates_checked(mates: Column) -> Column:
@@ -24,18 +26,22 @@ def mates_checked(mates: Column) -> Column:
     return F.when(are_mates(names), mates).otherwise(F.raise_error(F.concat(F.lit("FASTQ files not in sync: "), F.array_join(names, ", "), F.lit(" are not mates."))))
 
 
-def numbered(rows: DataFrame, *order: str, index: str = "rec_idx") -> DataFrame:
-    """rows with their dense place (from 0) in the order given.
+def numbered(rows: DataFrame, *order: str, index: str = "rec_idx", keep: Sequence[str] | None = None, in_order: bool = False) -> DataFrame:
+    """rows with their dense place (from 0) in the order given, and of their columns those to keep (all, if None).
 
-    Ranges are sorted and numbered in parallel; what comes before each range is summed over a row a range.
+    Rows are made once and stored, for cutting them into ranges looks at them twice.  Ranges are sorted in parallel, each row gets its range and its
+    place there, and what comes before each range is summed over a row a range.  in_order: the result's partitions, and the rows in them, are in
+    that order.
     """
-    cut = rows.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
-    cut = checkpoint(cut)
-    within = cut.withColumn("_row", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
-    sizes = cut.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    before = sizes.select(F.col("_part").alias("_p"), F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    placed = within.join(F.broadcast(before), F.col("_part") == F.col("_p"))  # a row a partition
-    return placed.select((F.col("_before") + F.col("_row") - 1).alias(index), *rows.columns)
+    cut = stored(rows).repartitionByRange(*order).sortWithinPartitions(*order)
+    # The range in the high bits, the place in it in the lower 33.
+    cut = cut.select(F.monotonically_increasing_id().alias("_at"), *(rows.columns if keep is None else keep))
+    cut = checkpoint(cut) if in_order else stored(cut)
+    part = F.shiftright("_at", 33)
+    sizes = cut.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("_p", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    placed = cut.join(F.broadcast(before), part == F.col("_p"))  # a row a partition
+    return placed.select((F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(index), *cut.columns[1:])
 
 
 def zipped(left: DataFrame, right: DataFrame, index: str = "rec_idx") -> DataFrame:

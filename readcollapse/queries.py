@@ -16,7 +16,7 @@ from .operators import shape
 from .operators.pairs import contains
 from .options import DedupOptions, parse_slices
 from .plans.pipeline import Deduplication
-from .runtime import checkpoint, scratch
+from .runtime import scratch
 from .sources.fastq import read_fastq, write_fastq
 
 #: Keys: how many, how long, how often a letter changes once and twice, and by how much lengths vary.
@@ -289,12 +289,12 @@ def trie_memory(spark, sf_dir):
 @query(f"WITH r AS ({reads_sql('sparse')}) SELECT row_number() OVER (ORDER BY name, sequence) - 1 AS rec_idx, name, sequence, qualities, reverse(sequence) AS mate FROM r")
 def fastq_round_trip(spark, sf_dir):
     """Reads and their mates, written as two compressed FASTQ files and read again."""
-    rows = numbered(reads(spark, sf_dir, "sparse"), "name", "sequence")
+    rows = numbered(reads(spark, sf_dir, "sparse"), "name", "sequence", in_order=True)
     record = lambda s: F.struct("name", F.col(s).alias("sequence"), "qualities")
-    rows = checkpoint(rows.withColumn("mate", F.reverse("sequence")).select(F.lit(0).alias("file_set"), "rec_idx", F.array(record("sequence"), record("mate")).alias("mates")))
+    rows = rows.withColumn("mate", F.reverse("sequence")).select(F.lit(0).alias("file_set"), "rec_idx", F.array(record("sequence"), record("mate")).alias("mates"))
     folder = scratch(spark, "round-trip")
     paths = [f"{folder}-{i}.fastq.gz" for i in (1, 2)]
-    write_fastq(rows, paths)
+    write_fastq(rows, paths, ordered=True)
     back = read_fastq(spark, paths)
     return back.select("rec_idx", F.col("mates")[0]["name"].alias("name"), F.col("mates")[0]["sequence"].alias("sequence"), F.col("mates")[0]["qualities"].alias("qualities"), F.col("mates")[1]["sequence"].alias("mate"))
 

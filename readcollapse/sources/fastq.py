@@ -1,9 +1,10 @@
 """FASTQ files as a Spark data source, and as a sink.
 
 Plain files are cut into ranges of bytes.  Tasks first count the line ends of their ranges; what comes before each range then says on which line it
-begins, and so which records begin in it and which places they have.  Mates in several plain files are read each by itself and joined by place.  A
-compressed file can only be read from its beginning, so a set of mates of which any is compressed is read in step by one task; several sets are
-read by as many tasks.
+begins, and so which records begin in it and which places they have.  Mates in several plain files are read each by itself and joined by place.  Gzip
+files of several members (as written here, and by bgzip) are cut too: tasks look for the members of their ranges and count lines, what they found is
+held against the chain of members, and tasks then read mates in step from any member on.  Any other compressed file can only be read from its
+beginning, so a set of mates of which any is one is read in step by one task; several sets are read by as many tasks.
 """
 
 from __future__ import annotations
@@ -14,7 +15,10 @@ import io
 import json
 import lzma
 import uuid
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -34,6 +38,10 @@ BATCH = 4096
 #: Bytes that are read and parsed at once, and of a range of a plain file.
 BUFFER = 4 << 20
 RANGE = 64 << 20
+#: Ranges of gzip files are smaller by this; in each so many members have their places kept.  Compressed bytes that are inflated at once.
+PACKED, KEPT = 16, 8
+CHUNK = 64 << 10
+MAGIC = b"\x1f\x8b\x08"
 COMPRESSED = (".gz", ".bz2", ".xz", ".zst")
 
 
@@ -140,21 +148,26 @@ def batches(path: str) -> Iterator[pa.RecordBatch]:
         held = stream.read(BUFFER)
         if held[:1] == b">":
             yield from _fasta(stream, held)
-            return
-        while held:
-            more = stream.read(BUFFER)
-            if not more and held[-1:] != b"\n":
-                held += b"\n"
-            data = np.frombuffer(held, np.uint8)
-            ends = np.flatnonzero(data == 10)
-            whole = len(ends) // 4 * 4
-            if not more and whole < len(ends):
-                raise ValueError(f"{path}: no FASTQ record: {held[ends[whole - 1] + 1 if whole else 0 :][:80]!r}")
-            if whole:
-                stop = int(ends[whole - 1]) + 1
-                yield parsed(data[:stop], ends[:whole], path)
-                held = held[stop:]
-            held += more
+        else:
+            yield from _fastq(held, iter(lambda: stream.read(BUFFER), b""), path)
+
+
+def _fastq(held: bytes, pieces: Iterator[bytes], path: str) -> Iterator[pa.RecordBatch]:
+    """Records of the bytes held and those that follow, none of them empty, from the beginning of a record on."""
+    while held:
+        more = next(pieces, b"")
+        if not more and held[-1:] != b"\n":
+            held += b"\n"
+        data = np.frombuffer(held, np.uint8)
+        ends = np.flatnonzero(data == 10)
+        whole = len(ends) // 4 * 4
+        if not more and whole < len(ends):
+            raise ValueError(f"{path}: no FASTQ record: {held[ends[whole - 1] + 1 if whole else 0 :][:80]!r}")
+        if whole:
+            stop = int(ends[whole - 1]) + 1
+            yield parsed(data[:stop], ends[:whole], path)
+            held = held[stop:]
+        held += more
 
 
 def records(path: str) -> Iterator[tuple[str, str, str | None]]:
@@ -176,18 +189,22 @@ class _Reader(DataSourceReader):
         return [_Files(i, paths) for i, paths in enumerate(self.sets)]
 
     def read(self, partition: _Files):
-        place, streams = 0, [batches(p) for p in partition.paths]
-        held: list = [None] * len(streams)
-        while True:
-            for i, stream in enumerate(streams):
-                while held[i] is None or not held[i].num_rows:
-                    held[i] = next(stream, None)
-                    if held[i] is None:
-                        return  # with the shortest file
-            n = min(BATCH, *(h.num_rows for h in held))
-            yield mated(partition.number, np.arange(place, place + n), [h.slice(0, n) for h in held])
-            held = [h.slice(n) for h in held]
-            place += n
+        yield from _in_step(partition.number, 0, None, [batches(p) for p in partition.paths])
+
+
+def _in_step(number: int, place: int, stop: int | None, streams: list[Iterator[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """Mates from `place` on, where all streams are, up to `stop` or the end of the shortest."""
+    held: list = [None] * len(streams)
+    while stop is None or place < stop:
+        for i, stream in enumerate(streams):
+            while held[i] is None or not held[i].num_rows:
+                held[i] = next(stream, None)
+                if held[i] is None:
+                    return  # with the shortest file
+        n = min(BATCH, *(h.num_rows for h in held), *([] if stop is None else [stop - place]))
+        yield mated(number, np.arange(place, place + n), [h.slice(0, n) for h in held])
+        held = [h.slice(n) for h in held]
+        place += n
 
 
 def mated(number: int, places: np.ndarray, mates: list[pa.RecordBatch]) -> pa.RecordBatch:
@@ -299,6 +316,169 @@ def _cut(spark: SparkSession, files: list[tuple[int, int, str, int]], range_byte
     return joined.select("file_set", "rec_idx", F.concat(*(f"m{i}" for i in range(width))).alias("mates"))
 
 
+def inflated(stream, size: int, at: int) -> Iterator[tuple[bytes, int | None]]:
+    """Pieces of the data of gzip members from byte `at` on; with a member's last piece comes where the next one begins."""
+    held = b""
+    while at + len(held) < size or held:
+        inflater, piece = zlib.decompressobj(31), b""
+        while not inflater.eof:
+            if not held:
+                held = stream.read_at(min(CHUNK, size - at), at)
+            got = inflater.decompress(held, BUFFER)
+            if not held and not got:
+                raise EOFError("a gzip member ends too early")
+            if piece:
+                yield piece, None
+            piece, rest = got, inflater.unused_data if inflater.eof else inflater.unconsumed_tail
+            at, held = at + len(held) - len(rest), rest
+        # Zeros may follow a member.
+        while True:
+            if not held and at < size:
+                held = stream.read_at(min(CHUNK, size - at), at)
+            rest = held.lstrip(b"\0")
+            at, held = at + len(held) - len(rest), rest
+            if held or at >= size:
+                break
+        yield piece, at
+
+
+_INDEX = "file_set int, mate int, start long, begin long, end long, lines long, inside int, at array<long>, before array<long>, within array<int>"
+
+
+def _indexed(stream, size: int, start: int, stop: int) -> tuple | None:
+    """What `_INDEX` says after `start` of the members that begin in bytes start to stop of a gzip file.
+
+    inside: whether the data end within a line, -1 if there are none.  at, before, within: where some members begin, the line ends of this range
+    in front of them, and whether they begin within a line (-1: as the ranges before end).  A member is believed whose checksum holds; end is -1 where
+    the chain that begins with it breaks.
+    """
+    blob, found = stream.read_at(min(stop + len(MAGIC) - 1, size) - start, start), -1
+    while True:
+        found = 0 if found < 0 and start == 0 else blob.find(MAGIC, found + 1)
+        if found < 0:
+            return None
+        begin = start + found
+        lines, inside, marks, whole = 0, -1, [(begin, 0, -1)], False
+        try:
+            for piece, end in inflated(stream, size, begin):
+                if piece:
+                    lines, inside = lines + piece.count(b"\n"), int(piece[-1] != 10)
+                if end is not None:
+                    whole = True
+                    if end >= stop:
+                        break
+                    if end - marks[-1][0] >= (stop - start) // KEPT:
+                        marks.append((end, lines, inside))
+        except (zlib.error, EOFError):
+            if not whole and start:
+                continue
+            end = -1
+        return begin, end, lines, inside, *map(list, zip(*marks, strict=True))
+
+
+def _index(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        out = []
+        for number, mate, path, start, stop in zip(*(batch.column(c).to_pylist() for c in ("file_set", "mate", "path", "start", "stop")), strict=True):
+            fs, place = _located(path)
+            with fs.open_input_file(place) as stream:
+                if (found := _indexed(stream, stream.size(), start, stop)) is not None:
+                    out.append((number, mate, start, *found))
+        kinds = [pa.int32(), pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], [c.split()[0] for c in _INDEX.split(", ")])
+
+
+def _chained(found: list, size: int) -> tuple[list[tuple[int, int, int]], int] | None:
+    """(byte, line ends before, first place) of the members that a file's ranges tell of, and its number of lines; None unless they are one chain."""
+    at, lines, inside, marks = 0, 0, 0, []
+    for r in sorted(found, key=lambda r: r["start"]):
+        if r["begin"] != at:
+            return None
+        marks += [(a, lines + b, -(-(lines + b + (inside if w < 0 else w)) // 4)) for a, b, w in zip(r["at"], r["before"], r["within"], strict=True)]
+        at, lines = r["end"], lines + r["lines"]
+        inside = inside if r["inside"] < 0 else r["inside"]
+    return (marks, lines + inside) if at == size else None
+
+
+def _from(path: str, at: int, skip: int) -> Iterator[pa.RecordBatch]:
+    """Records of a gzip file after `skip` line ends from the member at byte `at` on."""
+
+    def pieces() -> Iterator[bytes]:
+        left = skip
+        for piece, _ in inflated(stream, stream.size(), at):
+            if left:
+                ends = np.flatnonzero(np.frombuffer(piece, np.uint8) == 10)
+                got = min(left, len(ends))
+                left -= got
+                piece = b"" if left else piece[int(ends[got - 1]) + 1 :]
+            if piece:
+                yield piece
+
+    fs, place = _located(path)
+    with fs.open_input_file(place) as stream:
+        data = pieces()
+        yield from _fastq(next(data, b""), data, path)
+
+
+def _read_members(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in rows:
+        for number, place, stop, paths, at, skip in zip(*(batch.column(c).to_pylist() for c in ("file_set", "place", "stop", "paths", "at", "skip")), strict=True):
+            yield from _in_step(number, place, stop, [_from(*of) for of in zip(paths, at, skip, strict=True)])
+
+
+def _packed_size(path: str, range_bytes: int) -> int | None:
+    """The size of a gzip FASTQ file worth cutting: of several members, the first of which ends soon; None for any other."""
+    if not path.endswith(".gz"):
+        return None
+    fs, place = _located(path)
+    with fs.open_input_file(place) as stream:
+        size = stream.size()
+        if size <= range_bytes:
+            return None
+        first, read = b"", 0
+        try:
+            for piece, end in inflated(stream, size, 0):
+                first, read = first or piece[:1], read + len(piece)
+                if end is not None:
+                    return size if end < size and first not in (b"", b">") else None
+                if read > RANGE:
+                    return None
+        except (zlib.error, EOFError):
+            return None  # read whole, it raises
+    return None
+
+
+def _cut_packed(spark: SparkSession, sets: dict[int, list[str]], sizes: dict[int, list[int]], range_bytes: int) -> tuple[DataFrame | None, list[int]]:
+    """(file_set, rec_idx, mates) of sets of gzip files, and the numbers of sets whose members make no chain and that have to be read whole."""
+    files = [(i, k, path, size) for i, paths in sets.items() for k, (path, size) in enumerate(zip(paths, sizes[i], strict=True))]
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("start")
+    ranges = spark.createDataFrame(files, "file_set int, mate int, path string, size long").select("file_set", "mate", "path", "size", starts)
+    ranges = ranges.select("file_set", "mate", "path", "start", F.least(F.col("start") + range_bytes, F.col("size")).alias("stop"))
+    found: dict[tuple[int, int], list] = {(i, k): [] for i, k, *_ in files}
+    for r in ranges.repartition(sum(-(-size // range_bytes) for *_, size in files)).mapInArrow(_index, _INDEX).collect():
+        found[r["file_set"], r["mate"]].append(r)
+    tasks, broken = [], []
+    for i, paths in sets.items():
+        chains = [_chained(found[i, k], size) for k, size in enumerate(sizes[i])]
+        if None in chains:
+            broken.append(i)
+            continue
+        marks, records = [m for m, _ in chains], min(lines // 4 for _, lines in chains)
+        cuts, last = [0], 0
+        for at, _, place in marks[0]:
+            if at - last >= range_bytes and cuts[-1] < place < records:
+                cuts.append(place)
+                last = at
+        firsts = [[place for *_, place in of] for of in marks]
+        for place, stop in zip(cuts, [*cuts[1:], None], strict=True):
+            near = [of[bisect_right(first, place) - 1] for of, first in zip(marks, firsts, strict=True)]
+            tasks.append((i, place, stop, paths, [at for at, *_ in near], [4 * place - before for _, before, _ in near]))
+    if not tasks:
+        return None, broken
+    rows = spark.createDataFrame(tasks, "file_set int, place long, stop long, paths array<string>, at array<long>, skip array<long>").repartition(len(tasks))
+    return rows.mapInArrow(_read_members, f"file_set int, rec_idx bigint, mates array<{RECORD}>"), broken
+
+
 def read_fastq(spark: SparkSession, paths: Sequence[str] | Sequence[Sequence[str]], check_mates: bool = True, range_bytes: int = RANGE) -> DataFrame:
     """(file_set, rec_idx, mates) of one set of files, or of several.  Mates whose names differ raise, if checked."""
     ship(spark)
@@ -309,6 +489,13 @@ def read_fastq(spark: SparkSession, paths: Sequence[str] | Sequence[Sequence[str
     cut = [(i, k, p, size) for i, (mates, known) in enumerate(zip(sets, sizes, strict=True)) if None not in known for k, (p, size) in enumerate(zip(mates, known, strict=True))]
     whole = [i for i, known in enumerate(sizes) if None in known]
     rows = _cut(spark, cut, range_bytes) if cut or not whole else None
+    piece = max(1, range_bytes // PACKED)
+    packed_sizes = {i: [_packed_size(p, piece) for p in sets[i]] for i in whole}
+    packed_sizes = {i: known for i, known in packed_sizes.items() if None not in known}
+    if packed_sizes:
+        step, broken = _cut_packed(spark, {i: sets[i] for i in packed_sizes}, packed_sizes, piece)
+        whole = [i for i in whole if i not in packed_sizes or i in broken]
+        rows = rows if step is None else step if rows is None else rows.unionByName(step)
     if whole:
         step = spark.read.format("fastq").option("paths", json.dumps([sets[i] for i in whole])).load()
         step = step.withColumn("file_set", F.element_at(F.array(*map(F.lit, whole)), F.col("file_set") + 1))
@@ -316,9 +503,11 @@ def read_fastq(spark: SparkSession, paths: Sequence[str] | Sequence[Sequence[str
     return rows.withColumn("mates", mates_checked(F.col("mates"))) if check_mates and width > 1 else rows
 
 
-def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> None:
+def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False, ordered: bool = False) -> None:
     """Writes mates (file_set, rec_idx, mates), in that order, one file for each mate; or, with `parts`, a folder of files in order for each.
 
+    ordered: partitions and their rows are in that order already, as `numbered` leaves them, and are written as they are; rows that are not raise.
+
     Tasks pack their ranges of rows as streams of their own.  With `parts` those go into the folders, and no byte is written
     twice.  Else they lie in the shared folder, and one task for each mate appends them in order to a file beside the target and then puts it in the
     target's place; only where targets are on the driver's machine and tasks are not, the driver does that.  A record without qualities raises.
@@ -334,7 +523,7 @@ def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> N
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        made, streams, any_row = [], [], False
+        made, streams, first, last = [], [], None, None
         for i, (folder, suffix) in enumerate(zip(folders, suffixes, strict=True)):
             fs, top = _located(folder)
             fs.create_dir(top, recursive=True)
@@ -342,7 +531,14 @@ def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> N
             made.append(f"{folder}/{name}")
             streams.append(fs.open_output_stream(f"{top}/{name}", compression=None))
         for batch in batches:
-            any_row = any_row or batch.num_rows > 0
+            if not batch.num_rows:
+                continue
+            known = np.array([batch.column("file_set"), batch.column("rec_idx")], np.int64)
+            begin, end = tuple(known[:, 0].tolist()), tuple(known[:, -1].tolist())
+            step = np.diff(known)
+            if (last is not None and begin < last) or ((step[0] < 0) | ((step[0] == 0) & (step[1] < 0))).any():
+                raise ValueError("rows are not in order")
+            first, last = first or begin, end
             for at in range(0, batch.num_rows, BATCH):
                 mates = batch.column("mates").slice(at, BATCH)
                 if pc.any(pc.not_equal(mates.value_lengths(), len(names))).as_py():
@@ -351,17 +547,23 @@ def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> N
                 columns = [flat.field(f) for f in FIELDS]
                 if columns[2].null_count:
                     raise ValueError(f"{columns[0].filter(columns[2].is_null())[0].as_py()!r} has no qualities and cannot be written as FASTQ")
-                lines = pc.binary_join_element_wise(pc.binary_join_element_wise("@", columns[0], ""), columns[1], "+", columns[2], "", "\n").to_pylist()
+                lines = pc.binary_join_element_wise(pc.binary_join_element_wise("@", columns[0], ""), columns[1], "+", columns[2], "", "\n")
+                if not pc.all(pc.string_is_ascii(lines)).as_py():
+                    raise ValueError("must be ASCII encoded")
                 for i, (stream, name) in enumerate(zip(streams, names, strict=True)):
-                    stream.write(packed("".join(lines[i :: len(names)]).encode("ascii"), name))
+                    # One string after another is what the values' buffer holds.
+                    own = lines.take(pa.array(np.arange(i, len(lines), len(names))))
+                    stream.write(packed(own.buffers()[2].to_pybytes()[: pc.sum(pc.binary_length(own)).as_py()], name))
         for stream in streams:
             stream.close()
-        if any_row:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * len(names), pa.int32()), "mate": pa.array(range(len(names)), pa.int32()), "file": pa.array(made)})
+        if last is not None:
+            n = len(names)
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "mate": pa.array(range(n), pa.int32()), "file": pa.array(made), "first": pa.array([list(first)] * n, pa.list_(pa.int64())), "last": pa.array([list(last)] * n, pa.list_(pa.int64()))})
 
-    ordered = rows.repartitionByRange("file_set", "rec_idx").sortWithinPartitions("file_set", "rec_idx").select("mates")
+    taken = rows if ordered else rows.repartitionByRange("file_set", "rec_idx").sortWithinPartitions("file_set", "rec_idx")
+    taken = taken.select(F.col("file_set").cast("long"), F.col("rec_idx").cast("long"), "mates")
     # A row for each part and mate; they meet in one task, so each part is there once, under its last name.
-    done = checkpoint(ordered.mapInArrow(run, "part int, mate int, file string").repartition(1))
+    done = checkpoint(taken.mapInArrow(run, "part int, mate int, file string, first array<long>, last array<long>").repartition(1))
 
     def whole(mate: int, found: list[str]) -> None:
         fs, place = _located(names[mate])
@@ -385,7 +587,10 @@ def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> N
             fs.delete_dir(held)
 
     files: list[list[str]] = [[] for _ in names]
-    for r in done.orderBy("part", "mate").collect():
+    rows_of = done.orderBy("part", "mate").collect()
+    if any(y["first"] < x["last"] for x, y in zip(rows_of, rows_of[len(names) :], strict=False)):
+        raise ValueError("partitions are not in order")
+    for r in rows_of:
         files[r["mate"]].append(r["file"])
     if parts:
         for mate, found in enumerate(files):
@@ -401,5 +606,5 @@ def write_fastq(rows: DataFrame, paths: Sequence[str], parts: bool = False) -> N
         rows_of = spark.createDataFrame(list(enumerate(files)), "mate int, files array<string>").repartition(len(names))
         rows_of.mapInArrow(join, "mate int").write.format("noop").mode("overwrite").save()
     else:
-        for mate, found in enumerate(files):
-            whole(mate, found)
+        with ThreadPoolExecutor(len(names)) as pool:
+            list(pool.map(whole, range(len(names)), files))

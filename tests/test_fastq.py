@@ -3,8 +3,10 @@ import json
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import readcollapse.sources.fastq as source
+from readcollapse.functions.records import numbered
 from readcollapse.options import DedupOptions
 from readcollapse.plans.pipeline import run
 from readcollapse.sources.fastq import read_fastq, records, write_fastq
@@ -55,6 +57,57 @@ def test_sets_of_plain_and_compressed_files(spark, tmp_path):
     assert got == want
 
 
+def members(path, data, cuts, pad=b""):
+    """data as gzip members that end at the cuts."""
+    raw = data.encode()
+    path.write_bytes(b"".join(gzip.compress(raw[a:b], 1) + pad for a, b in zip([0, *cuts], [*cuts, len(raw)], strict=True)))
+    return str(path)
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_gzip_files_of_members_are_cut(spark, tmp_path, end):
+    """Members end anywhere, also at other places for each mate, and some are empty; one task read such files."""
+    one, two = ("".join(f"@{n}/{k}{end}{s}{end}+{end}{q}{end}" for n, s, q in ROWS) for k in (1, 2))
+    a = members(tmp_path / "a.fq.gz", one, [*range(700, len(one), 700), len(one)])
+    b = members(tmp_path / "b.fq.gz", two[: -len(end)], [5, 5, *range(1111, len(two) - 9000, 1111)], b"\0\0")
+    short = members(tmp_path / "c.fq.gz", two[: two.index("@r5000/")], range(999, 50_000, 999))
+    for paths, n in (([a, b], len(ROWS)), ([b, a], len(ROWS)), ([a, short], 5000), ([a], len(ROWS))):
+        got = read_fastq(spark, paths, range_bytes=16 * 5000).withColumn("task", F.spark_partition_id()).orderBy("rec_idx").collect()
+        assert [(r["rec_idx"], *[(m["name"][:-2], m["sequence"], m["qualities"]) for m in r["mates"]]) for r in got] == [(i, *[r] * len(paths)) for i, r in enumerate(ROWS[:n])]
+        assert len({r["task"] for r in got}) > 2
+    whole = gzip.open(fastq(tmp_path / "d.fq.gz", ROWS)).read()
+    for bad in ((tmp_path / "a.fq.gz").read_bytes()[:-9], (tmp_path / "a.fq.gz").read_bytes() + b"x", gzip.compress(whole[:9000]) + gzip.compress(whole[9000:-4]) * 2):
+        (tmp_path / "e.fq.gz").write_bytes(bad)
+        with pytest.raises(Exception, match="gzip|stream|no FASTQ record|ended|differ in length"):
+            read_fastq(spark, [str(tmp_path / "e.fq.gz")], range_bytes=16 * 5000).collect()
+
+
+def test_a_gzip_header_inside_a_member_is_no_member(tmp_path):
+    """Stored blocks show their data; ranges that begin there find what makes no chain, and the file is read whole."""
+    inner = gzip.compress(b"x" * 50)
+    outer = gzip.compress(b"y" * 500 + inner + b"y" * 500, 0)
+    raw = outer + gzip.compress(b"z\n")
+    rows = []
+    for start in range(0, len(raw), 300):
+        found = source._indexed(pa.BufferReader(raw), len(raw), start, min(start + 300, len(raw)))
+        if found is not None:
+            rows.append(dict(zip(("start", "begin", "end", "lines", "inside", "at", "before", "within"), (start, *found), strict=True)))
+    assert any(r["begin"] == raw.index(inner, 1) for r in rows)
+    assert source._chained(rows, len(raw)) is None
+    true = [r for r in rows if r["begin"] in (0, len(outer))]
+    assert source._chained(true, len(raw)) == ([(0, 0, 0), (len(outer), 0, 1)], 1)
+
+
+def test_rows_in_order_are_written_as_they_are(spark, tmp_path):
+    rows = numbered(spark.createDataFrame(ROWS, "name string, sequence string, qualities string").repartition(5), "name", in_order=True)
+    rows = rows.select(F.lit(0).alias("file_set"), "rec_idx", F.array(F.struct("name", "sequence", "qualities")).alias("mates"))
+    write_fastq(rows, [str(tmp_path / "o.fq.gz")], ordered=True)
+    assert list(records(str(tmp_path / "o.fq.gz"))) == sorted(ROWS)
+    for wrong in (rows.withColumn("rec_idx", -F.col("rec_idx")), rows.filter("rec_idx > 5000").union(rows.filter("rec_idx < 5000"))):
+        with pytest.raises(Exception, match="not in order"):
+            write_fastq(wrong, [str(tmp_path / "w.fq")], ordered=True)
+
+
 def test_folders_of_parts(spark, tmp_path):
     source_path = fastq(tmp_path / "in.fq", ROWS)
     small = "spark.sql.adaptive.coalescePartitions.enabled"

@@ -248,8 +248,8 @@ def dedup_summary(spark, sf_dir):
 @query(f"""WITH x AS ({reads_sql('dense')}), y AS ({reads_sql('sparse')}), a AS (SELECT row_number() OVER (ORDER BY name) - 1 AS rec_idx, sequence AS s1 FROM x),
         b AS (SELECT row_number() OVER (ORDER BY name) - 1 AS rec_idx, sequence AS s2 FROM y WHERE name < 'f') SELECT rec_idx, s1, s2 FROM a JOIN b USING (rec_idx)""")
 def positional_zip(spark, sf_dir):
-    a = numbered(reads(spark, sf_dir, "dense").select("name", F.col("sequence").alias("s1")), "name", "s1").drop("name")
-    b = numbered(reads(spark, sf_dir, "sparse").filter("name < 'f'").select("name", F.col("sequence").alias("s2")), "name", "s2").drop("name")
+    a = numbered(reads(spark, sf_dir, "dense").select("name", F.col("sequence").alias("s1")), "name", "s1", keep=["s1"])
+    b = numbered(reads(spark, sf_dir, "sparse").filter("name < 'f'").select("name", F.col("sequence").alias("s2")), "name", "s2", keep=["s2"])
     return zipped(a, b)
 
 

@@ -119,3 +119,23 @@ def test_positional_zip(spark):
     b = numbered(spark.range(500).select((F.col("id") * 2).alias("y")), "y")
     got = sorted(zipped(a, b).collect())
     assert [(r["rec_idx"], r["x"], r["y"]) for r in got] == [(i, i, 2 * i) for i in range(500)]
+
+
+def test_numbering_makes_rows_once(spark):
+    """Cutting rows into ranges looks at them twice, and they were made each time."""
+    made = spark.sparkContext.accumulator(0)
+
+    def back(i):
+        made.add(1)
+        return 999 - i
+
+    rows = spark.range(0, 1000, 1, 7).select(F.udf(back, "long")("id").alias("x"), F.lit("a").alias("y"))
+    got = numbered(rows, "x", keep=["y"])
+    assert sorted(map(tuple, got.collect())) == [(i, "a") for i in range(1000)]
+    assert made.value == 1000
+
+
+def test_numbered_rows_lie_in_order(spark):
+    rows = numbered(spark.range(1000).repartition(7).select((F.col("id") % 100).alias("x"), "id"), "x", "id", in_order=True)
+    assert [tuple(r) for r in rows.collect()] == [(i, i // 10, i // 10 + i % 10 * 100) for i in range(1000)]
+    assert numbered(rows.filter("false"), "x").count() == 0

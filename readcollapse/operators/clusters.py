@@ -122,17 +122,23 @@ def survivors(keys: DataFrame, pairs: DataFrame, method: str = "directional") ->
     raise ValueError(f"unknown method {method!r}")
 
 
-def first_records(reads: DataFrame, kept: DataFrame, key: Column, order: Column) -> DataFrame:
-    """The first row of reads (in order) for each key kept, whatever its quality.
+def counted_records(reads: DataFrame, counts: Column, key: Column, order: Column) -> DataFrame:
+    """(seq, n, r): every key, how many of its reads count, and the first of all its rows (in order), in one pass over reads.
 
-    Each key's first place is found before any row is moved: minima are combined where the reads are, so a key that very many
-    reads have is no more work than another.  Rows are then fetched by key and place, which such a key's rows do not share.
+    First rows are combined where the reads are, so a key that very many reads have is no more work than another, and of each only one row
+    a task is moved.  Places may be equal; one of those rows is taken.
     """
-    names = reads.columns
-    row = reads.select(key.alias("_key"), order.alias("_place"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("r"))
-    # Null-safe, so that no "is not null" of the key's whole expression is derived, copied and pushed below the projections.
-    first = row.groupBy("_key").agg(F.min("_place").alias("_first")).withColumnRenamed("_key", "_seq")
-    first = first.join(kept.select(F.col("seq").alias("_kept")), F.col("_seq").eqNullSafe(F.col("_kept")), "left_semi")
-    found = row.join(first, F.col("_key").eqNullSafe(F.col("_seq")) & F.col("_place").eqNullSafe(F.col("_first")))
-    # Places may be equal; one of those rows is taken.
-    return found.groupBy("_key").agg(F.first("r").alias("r")).select(*(F.col("r")[c].alias(c) for c in names))
+    row = reads.select(key.alias("seq"), counts.alias("_counts"), order.alias("_place"), F.struct(*(F.col(f"`{c}`") for c in reads.columns)).alias("r"))
+    # A place that is null comes last, and is none to min_by by itself.
+    first = F.min_by("r", F.struct(F.col("_place").isNull(), "_place"))
+    return row.groupBy("seq").agg(F.count_if("_counts").alias("n"), first.alias("r"))
+
+
+def taken(counted: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
+    """The first rows of the keys kept (seq), of counted (seq, n, r)."""
+    return counted.join(kept.select(F.col("seq").alias("_kept")), F.col("seq").eqNullSafe(F.col("_kept")), "left_semi").select(*(F.col("r")[c].alias(c) for c in names))
+
+
+def first_records(reads: DataFrame, kept: DataFrame, key: Column, order: Column) -> DataFrame:
+    """The first row of reads (in order) for each key kept, whatever its quality."""
+    return taken(counted_records(reads, F.lit(True), key, order), kept, reads.columns)

@@ -8,13 +8,13 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.quality import quality_filter
+from ..functions.quality import passes, quality_filter
 from ..functions.slices import checked_key, key, quality_key
 from ..operators import shape
-from ..operators.clusters import clusters, count_keys, first_records, survivors
+from ..operators.clusters import clusters, count_keys, counted_records, first_records, survivors, taken
 from ..operators.pairs import similarity_pairs
 from ..options import DedupOptions
-from ..runtime import checkpoint
+from ..runtime import checkpoint, stored
 from ..sources.fastq import read_fastq, write_fastq
 
 log = logging.getLogger("readcollapse")
@@ -36,10 +36,22 @@ class Deduplication:
     @cached_property
     def kept(self) -> DataFrame:
         """Reads that pass the quality filter; only they are counted."""
-        return quality_filter(self.reads, self.quality, self.options.max_error_rate, self.options.phred_offset, self.observed)
+        return quality_filter(self.reads, self.quality, self.options.max_error_rate, self.options.phred_offset, None if "counted" in self.__dict__ else self.observed)
+
+    @cached_property
+    def counted(self) -> DataFrame:
+        """(seq, n, r): keys of all reads, how many of each were kept, and the first read of each: one pass where both are asked for."""
+        o = self.options
+        counts = F.lit(True) if o.max_error_rate >= 1.0 else passes(self.quality, o.max_error_rate, o.phred_offset)
+        rows = self.reads.select(*(F.col(f"`{c}`") for c in self.reads.columns), counts.alias("_passes"))
+        if "kept" not in self.__dict__:  # which observes too, and an observation has one table
+            rows = rows.observe(self.observed, F.count(F.lit(1)).alias("total"), F.count_if(~F.col("_passes")).alias("discarded"))
+        return stored(counted_records(rows, F.col("_passes"), self.key, self.order))
 
     @cached_property
     def keys(self) -> DataFrame:
+        if "counted" in self.__dict__:
+            return checkpoint(self.counted.filter("n > 0").select("seq", "n"))
         return checkpoint(count_keys(self.kept, self.key))
 
     @cached_property
@@ -57,7 +69,10 @@ class Deduplication:
     @cached_property
     def output(self) -> DataFrame:
         """The first record of every survivor among all reads, those of low quality too."""
-        return first_records(self.reads, self.survivors, self.key, self.order)
+        if "keys" in self.__dict__ and "counted" not in self.__dict__:
+            return first_records(self.reads, self.survivors, self.key, self.order)
+        counted = self.counted  # before the keys, which then come of it
+        return taken(counted, self.survivors, self.reads.columns)
 
     def report(self) -> str:
         return shape.report(self.keys)
@@ -74,6 +89,7 @@ def deduplicate(spark: SparkSession, options: DedupOptions) -> Deduplication:
 def run(spark: SparkSession, options: DedupOptions) -> Deduplication:
     """Reads, deduplicates and writes; logs what it counts."""
     job = deduplicate(spark, options)
+    job.counted  # noqa: B018  keys and first records in one pass
     distinct = job.keys.count()
     if options.filters:
         counts = job.observed.get

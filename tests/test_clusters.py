@@ -8,6 +8,8 @@ from readcollapse.operators.clusters import clusters, count_keys, custom, first_
 from readcollapse.operators.components import components
 from readcollapse.operators.pairs import contains, similarity_pairs
 from readcollapse.operators.shape import check_alphabet, letters, memory, nodes, report, shape
+from readcollapse.options import DedupOptions
+from readcollapse.plans.pipeline import Deduplication
 
 
 def hamming(a, b):
@@ -230,3 +232,30 @@ def test_alphabet():
         check_alphabet("abcc")
     with pytest.raises(ValueError):
         check_alphabet("é")
+
+
+def test_output_makes_reads_once(spark):
+    """Keys and first records come of one pass; reads were made for the keys, for the first places and for the rows at them."""
+    made = spark.sparkContext.accumulator(0)
+
+    def name(i):
+        made.add(1)
+        return f"{i:04d}"
+
+    rows = spark.range(0, 600, 1, 3).select(F.udf(name)(F.col("id")).alias("name"), F.element_at(F.array(*map(F.lit, ["AAAA", "AAAC", "TTTT"])), (F.col("id") % 3 + 1).cast("int")).alias("s"), F.when(F.col("id") < 100, "####").otherwise("IIII").alias("q"))
+    one = lambda method: Deduplication(rows, [F.col("s")], [F.col("q")], F.col("name"), DedupOptions(method=method))
+    for method in ("adjacency", "directional"):
+        made.value = 0
+        job = one(method)
+        assert sorted(map(tuple, job.output.collect())) == [("0001", "AAAC", "####"), ("0002", "TTTT", "####")] or method == "directional"
+        assert made.value == 600 and job.observed.get == {"total": 600, "discarded": 100}
+        # By way of the keys, asked for first, or of the reads kept, too.
+        other, third = one(method), one(method)
+        assert other.keys.count() == 3 and third.kept.count() == 500 and job.kept.count() == 500
+        assert sorted(other.output.collect()) == sorted(job.output.collect()) == sorted(third.output.collect())
+
+
+def test_first_records_pass_over_null_places(spark):
+    reads = spark.createDataFrame([(None, "a", 1), (3, "a", 2), (2, "a", 3), (None, "b", 4)], "i int, k string, x int")
+    kept = spark.createDataFrame([("a",), ("b",)], "seq string")
+    assert sorted(r["x"] for r in first_records(reads, kept, F.col("k"), F.col("i")).collect()) == [3, 4]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,32 +43,60 @@ def average_error_rate(quality: Column, offset: int = DEFAULT_OFFSET, check: boo
     return once(quality, lambda q: once(_checked(q, offset), lambda c: _rate(c, offset)) if check else _rate(q, offset))
 
 
+def _summed(strings: pa.Array, offset: int, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sum of error rates and length of each string (0 and 0 for null): one addition for each position in all strings, so sums run from left to right."""
+    s = pc.fill_null(strings.cast(pa.large_string()), "")
+    cuts = np.frombuffer(s.buffers()[1], np.int64)[s.offset : s.offset + len(s) + 1] if len(s) else np.zeros(1, np.int64)
+    size, begin = np.diff(cuts), cuts[:-1]
+    codes = np.frombuffer(s.buffers()[2] or b"", np.uint8)
+    mine = codes[cuts[0] : cuts[-1]]
+    if len(mine) and (mine.min() < offset or mine.max() > 126):
+        wrong = int(np.flatnonzero((mine < offset) | (mine > 126))[0]) + cuts[0]
+        text = s[int(np.searchsorted(cuts, wrong, "right")) - 1].as_py()
+        raise ValueError(("outside of valid phred range: " if text.isascii() else "must be ASCII encoded: ") + text)
+    total, longest = np.zeros(len(s)), int(size.max(initial=0))
+    if longest and (size == longest).all():
+        for column in mine.reshape(-1, longest).T:
+            total += table[column]
+        return total, size
+    order = np.argsort(-size, kind="stable")
+    for place in range(longest):
+        rows = order[: np.searchsorted(-size[order], -place, "left")]
+        total[rows] += table[codes[begin[rows] + place]]
+    return total, size
+
+
+def _table(offset: int) -> np.ndarray:
+    return np.array([*[np.nan] * offset, *ERROR_RATES])
+
+
 def average_error_rate_arrow(offset: int = DEFAULT_OFFSET):
-    """The same as an Arrow function on batches: one addition for each position in all strings, so sums also run from left to right."""
+    """The same as an Arrow function on batches, with sums from left to right too."""
 
-    table = np.array([*[np.nan] * offset, *ERROR_RATES])
+    table, summed = _table(offset), _summed
 
     @F.arrow_udf("double")
     def rate(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            size = np.array([0 if x is None else x for x in pc.binary_length(s).to_pylist()], np.int64)
-            if pc.any(pc.not_equal(pc.utf8_length(s), pc.binary_length(s))).as_py():
-                raise ValueError("must be ASCII encoded")
-            codes = np.frombuffer("".join(pc.fill_null(s, "").to_pylist()).encode(), np.uint8)
-            if len(codes) and (codes.min() < offset or codes.max() > 126):
-                raise ValueError("outside of valid phred range")
-            begin = np.cumsum(size) - size
-            total = np.zeros(len(s))
-            order = np.argsort(-size, kind="stable")
-            for place in range(int(size.max(initial=0))):
-                rows = order[: np.searchsorted(-size[order], -place, "left")]
-                total[rows] += table[codes[begin[rows] + place]]
+            total, size = summed(s, offset, table)
             with np.errstate(invalid="ignore"):
                 yield pa.array(total / size, mask=s.is_null().to_numpy(zero_copy_only=False), from_pandas=False)
 
     return rate
 
 
+def passes_arrow(most: float, offset: int = DEFAULT_OFFSET) -> Callable[[pa.Array], np.ndarray]:
+    """`passes` for Arrow arrays, with the same sums and checks."""
+    table = _table(offset)
+
+    def judge(qualities: pa.Array) -> np.ndarray:
+        total, size = _summed(qualities, offset, table)
+        # Null and empty strings have no rate, and are kept.
+        return (size == 0) | ~(total / np.maximum(size, 1) > most)
+
+    return judge
+
+
 def passes(quality: Column, most: float, offset: int = DEFAULT_OFFSET) -> Column:
     """Whether a row is kept: its rate is not above `most`.  Without qualities there is no rate, and the row is kept."""
     # NaN is above any number in Spark, so empty strings are told apart first.

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import checkpoint
+from .combine import counted_records
 from .components import components
 
 
@@ -122,18 +123,6 @@ def survivors(keys: DataFrame, pairs: DataFrame, method: str = "directional") ->
     raise ValueError(f"unknown method {method!r}")
 
 
-def counted_records(reads: DataFrame, counts: Column, key: Column, order: Column) -> DataFrame:
-    """(seq, n, r): every key, how many of its reads count, and the first of all its rows (in order), in one pass over reads.
-
-    First rows are combined where the reads are, so a key that very many reads have is no more work than another, and of each only one row
-    a task is moved.  Places may be equal; one of those rows is taken.
-    """
-    row = reads.select(key.alias("seq"), counts.alias("_counts"), order.alias("_place"), F.struct(*(F.col(f"`{c}`") for c in reads.columns)).alias("r"))
-    # A place that is null comes last, and is none to min_by by itself.
-    first = F.min_by("r", F.struct(F.col("_place").isNull(), "_place"))
-    return row.groupBy("seq").agg(F.count_if("_counts").alias("n"), first.alias("r"))
-
-
 def taken(counted: DataFrame, kept: DataFrame, names: list[str]) -> DataFrame:
     """The first rows of the keys kept (seq), of counted (seq, n, r)."""
     return counted.join(kept.select(F.col("seq").alias("_kept")), F.col("seq").eqNullSafe(F.col("_kept")), "left_semi").select(*(F.col("r")[c].alias(c) for c in names))

@@ -8,10 +8,11 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.quality import passes, quality_filter
+from ..functions.quality import passes, passes_arrow, quality_filter
 from ..functions.slices import checked_key, key, quality_key
 from ..operators import shape
-from ..operators.clusters import clusters, count_keys, counted_records, first_records, survivors, taken
+from ..operators.clusters import clusters, count_keys, first_records, survivors, taken
+from ..operators.combine import counted_records
 from ..operators.pairs import similarity_pairs
 from ..options import DedupOptions
 from ..runtime import checkpoint, stored
@@ -29,7 +30,8 @@ class Deduplication:
     def __init__(self, reads: DataFrame, sequences: list[Column], qualities: list[Column], order: Column, options: DedupOptions):
         self.reads, self.order, self.options = reads, order, options
         parts = list(options.slices) if options.slices is not None else None
-        self.key = checked_key(key(sequences, parts))
+        self.plain_key = key(sequences, parts)
+        self.key = checked_key(self.plain_key)
         self.quality = quality_key(qualities, parts)
         self.observed = Observation("filter")
 
@@ -42,11 +44,15 @@ class Deduplication:
     def counted(self) -> DataFrame:
         """(seq, n, r): keys of all reads, how many of each were kept, and the first read of each: one pass where both are asked for."""
         o = self.options
-        counts = F.lit(True) if o.max_error_rate >= 1.0 else passes(self.quality, o.max_error_rate, o.phred_offset)
-        rows = self.reads.select(*(F.col(f"`{c}`") for c in self.reads.columns), counts.alias("_passes"))
+        counts, judged = F.lit(True), None
+        if o.filters:
+            counts, judged = passes(self.quality, o.max_error_rate, o.phred_offset), (self.quality, passes_arrow(o.max_error_rate, o.phred_offset))
+        rows = counted_records(self.reads, counts, self.plain_key, self.order, judged)
         if "kept" not in self.__dict__:  # which observes too, and an observation has one table
-            rows = rows.observe(self.observed, F.count(F.lit(1)).alias("total"), F.count_if(~F.col("_passes")).alias("discarded"))
-        return stored(counted_records(rows, F.col("_passes"), self.key, self.order))
+            total = F.coalesce(F.sum("m"), F.lit(0))
+            rows = rows.observe(self.observed, total.alias("total"), (total - F.coalesce(F.sum("n"), F.lit(0))).alias("discarded"))
+        # A key is checked once, not with every read that has it.
+        return stored(rows.select(checked_key(F.col("seq")).alias("seq"), "n", "r"))
 
     @cached_property
     def keys(self) -> DataFrame:

@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import readcollapse.operators.clusters as clusters_module
+from readcollapse.functions.quality import passes, passes_arrow
+from readcollapse.operators import combine
 from readcollapse.operators.clusters import clusters, count_keys, custom, first_records, survivors
 from readcollapse.operators.components import components
 from readcollapse.operators.pairs import contains, similarity_pairs
@@ -259,3 +261,54 @@ def test_first_records_pass_over_null_places(spark):
     reads = spark.createDataFrame([(None, "a", 1), (3, "a", 2), (2, "a", 3), (None, "b", 4)], "i int, k string, x int")
     kept = spark.createDataFrame([("a",), ("b",)], "seq string")
     assert sorted(r["x"] for r in first_records(reads, kept, F.col("k"), F.col("i")).collect()) == [3, 4]
+
+
+def test_a_task_hands_on_a_row_a_key(spark):
+    """Every read was sorted by its key before first rows were taken."""
+    rows = spark.range(0, 4000, 1, 2).select(F.format_string("%05d", F.col("id")).alias("name"), F.element_at(F.array(*map(F.lit, ["AAAA", "CCCC", "TTTT"])), (F.col("id") % 3 + 1).cast("int")).alias("s"))
+    plan = clusters_module.counted_records(rows, F.lit(True), F.col("s"), F.col("name"))._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Sort" not in plan[plan.index("MapInArrow") :]
+    assert combine.combined(rows.select(F.col("s").alias("seq"), F.lit(True).alias("_counts"), F.col("name").alias("_place"))).count() == 6
+
+
+@pytest.mark.parametrize("bounds", [(1 << 16, 1 << 26), (7, 1 << 26), (7, 1)])
+@pytest.mark.parametrize("kind", ["string", "int", "struct<a:string,b:int>", "double"])
+def test_combined_rows_are_those_of_plain_python(spark, monkeypatch, bounds, kind):
+    """Places with nulls, ties, other alphabets; keys with nulls; tasks that combine often, or hand on at once (double: without Arrow)."""
+    rng = random.Random(11)
+    pick = {
+        "string": lambda: rng.choice([None, "", "a", "B", "é", "zz", "\U0001f600", "\uffff", f"x{rng.random()}"]),
+        "int": lambda: rng.choice([None, rng.randrange(-900, 900)]),
+        "struct<a:string,b:int>": lambda: rng.choice([None, (rng.choice([None, "a", "é", "\U0001f600", "\uffff"]), rng.choice([None, rng.randrange(-90, 90)]))]),
+        "double": lambda: rng.choice([None, float("nan"), rng.random()]),
+    }[kind]
+    rows = [(rng.choice([None, "A", "C", "é", *"GT" * 5]), pick(), rng.choice([None, "III", "55I", "5", "", "I~!"]), [(str(i), None)]) for i in range(300)]
+    reads = spark.createDataFrame(rows, f"k string, p {kind}, q string, `odd.name` array<struct<x:string,y:int>>").repartition(3)
+
+    def rank(p):
+        text = lambda t: (t is not None, (t or "").encode())
+        number = lambda x: (x is not None, x is not None and x != x, 0 if x is None or x != x else x)
+        return (p is None, () if p is None else (text(p[0]), number(p[1])) if isinstance(p, tuple) else text(p) if isinstance(p, str) else number(p))
+
+    kept = lambda q: not q or not sum(10 ** -((ord(c) - 33) / 10) for c in q) / len(q) > 0.001
+    want = {k: (sum(kept(q) for kk, _, q, _ in rows if kk == k), sum(kk == k for kk, *_ in rows), min(rank(p) for kk, p, *_ in rows if kk == k)) for k in {r[0] for r in rows}}
+    monkeypatch.setattr(combine, "GATHER_ROWS", bounds[0])
+    monkeypatch.setattr(combine, "HELD_BYTES", bounds[1])
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, 10)
+    try:
+        got = combine.counted_records(reads, passes(F.col("q"), 0.001), F.col("k"), F.col("p"), (F.col("q"), passes_arrow(0.001))).collect()
+    finally:
+        spark.conf.set(setting, before)
+    assert {g["seq"]: (g["n"], g["m"], rank(g["r"]["p"] if not hasattr(g["r"]["p"], "asDict") else tuple(g["r"]["p"]))) for g in got} == want and len(got) == len(want)
+    by = {r[3][0][0]: r for r in rows}
+    assert all(by[g["r"]["odd.name"][0]["x"]][:1] == (g["seq"],) and by[g["r"]["odd.name"][0]["x"]][2] == g["r"]["q"] for g in got)
+
+
+@pytest.mark.parametrize(("key", "quality", "message"), [("AC", "I\x1f", "outside of valid phred range: I"), ("AC", "Ié", "must be ASCII encoded: Ié"), ("é", "II", "keys must be ASCII encoded: é")])
+def test_combined_reads_are_checked(spark, key, quality, message):
+    rows = spark.createDataFrame([("1", "AC", "II"), ("2", key, quality), ("3", "AC", None)], "name string, s string, q string")
+    job = Deduplication(rows, [F.col("s")], [F.col("q")], F.col("name"), DedupOptions())
+    with pytest.raises(Exception, match=message):
+        job.output.collect()
